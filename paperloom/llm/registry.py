@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import exact_dedup
+from paperloom.llm import bpe, exact_dedup, language_id
 
 
 def queries() -> dict:
     return {
+        "op3_language_id": language_id.op3_language_id,
+        "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
