@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, exact_dedup, language_id, packing
+from paperloom.llm import bpe, exact_dedup, language_id, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_simhash": simhash.op2_simhash,
         "op3_language_id": language_id.op3_language_id,
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
