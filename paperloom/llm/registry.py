@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, exact_dedup, language_id, packing, simhash
+from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     }
 
 
