@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, simhash
+from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
