@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, simhash, toxicity
+from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_language_id": language_id.op3_language_id,
         "op5_pii": pii.op5_pii,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
