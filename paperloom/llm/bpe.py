@@ -10,6 +10,7 @@ A null text counts as empty and gives no tokens. Every text is encoded whole.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterable
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.common import documents, map_batches
 
-CACHE_PIECES, CACHE_CHUNKS, CACHE_PREFIXES = 400_000, 200_000, 400_000  #: entries a worker keeps
+CACHE_PIECES, CACHE_CHUNKS, CACHE_PREFIXES = 600_000, 400_000, 400_000  #: entries a worker process keeps over its tasks
 SHORT = 48  #: bytes of a piece whose prefixes are kept
 
 
@@ -208,6 +209,12 @@ class TextEncoder:
         return b"".join(map(self.spelled.__getitem__, ids.split(","))) if ids else b""
 
 
+@functools.cache
+def text_encoder(path: str, pattern: str) -> TextEncoder:
+    """One for each worker process, which goes on from task to task."""
+    return TextEncoder(PrefixBPE(load_ranks(path)), pattern)
+
+
 def _public(name: str) -> tuple[str, str]:
     import public_tokenizers
 
@@ -222,7 +229,7 @@ def encoded(docs: DataFrame, *, vocabulary: str | None = None, pattern: str | No
 def _mapped(docs, schema, vocabulary, pattern, derive, names):
     def make():
         path, own = _public("byte_bpe_multi_50k.tiktoken")
-        enc = TextEncoder(PrefixBPE(load_ranks(vocabulary or path)), pattern or own)
+        enc = text_encoder(vocabulary or path, pattern or own)
 
         def work(batch):
             ids = [enc.encode(t) if t else "" for t in batch.column("text").to_pylist()]
