@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,14 +24,15 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from paperloom.plans import document_queries, review_queries, value_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
-
-
-@register("line_items_sum_check")
-def line_items_sum_check(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"))
