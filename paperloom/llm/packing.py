@@ -14,6 +14,7 @@ a document with a null id as any other. An empty table gives no rows. Further co
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -28,7 +29,7 @@ from paperloom.scratch import written
 
 WINDOW, END_ID = 4096, 2
 PIECES_A_SHARD = 4096
-CACHE_WORDS = 400_000  #: entries a worker keeps
+CACHE_WORDS = 300_000  #: entries a worker process keeps over its tasks
 #: White space other than blank, tab and line ends: a text with any is tokenised in one call.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -40,15 +41,25 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        # The characters that stand for bytes: printable ones for themselves, the others from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def _fresh(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _kept(self, key: str) -> bytes:
+    def _letters(self, word: str) -> bytes:
+        """A lower-case word of letters is one piece: the model alone, without normalising and splitting."""
+        spelled = word if word.isascii() else "".join(map(self.byte_chars.__getitem__, word.encode()))
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+
+    def _kept(self, key: str, fresh) -> bytes:
         found = self.words.get(key)
         if found is None:
-            found = self._fresh(key)
+            found = fresh(key)
             if len(key) < 64:
                 if len(self.words) >= CACHE_WORDS:
                     self.words.clear()
@@ -60,9 +71,9 @@ class WordTokenizer:
         core = word.rstrip(".,")
         lowered = core.lower()
         if lowered.isalpha() and "Σ" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-            found = self._kept(lowered)
-            return found + self._kept(word[len(core) :]) if len(core) < len(word) else found
-        return self._kept(word)
+            found = self._kept(lowered, self._letters)
+            return found + self._kept(word[len(core) :], self._fresh) if len(core) < len(word) else found
+        return self._kept(word, self._fresh)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -72,6 +83,12 @@ class WordTokenizer:
         return b"".join([get(w) or word(w) for w in text.split()])
 
 
+@functools.cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, which goes on from task to task."""
+    return WordTokenizer(path)
+
+
 class RoomTree:
     """Segment tree over room 0..window: how many open windows have each; finds the least room >= need."""
 
@@ -128,7 +145,7 @@ def pieces(docs: DataFrame, *, vocabulary: str | None = None, window: int = WIND
     def make():
         import public_tokenizers
 
-        tokenizer = WordTokenizer(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        tokenizer = word_tokenizer(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         end, step = np.array([end_id], "<u4").tobytes(), 4 * window
 
         def work(batch):
