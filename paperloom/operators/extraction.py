@@ -22,11 +22,11 @@ def parse_answer(raw: Column) -> Column:
     """STRUCT of fields and tables of a model's answer, null if it is no JSON object. Fields or tables that are
     themselves JSON texts are decoded."""
     text = clean_json(raw)
-    whole = F.try_parse_json(text)
-    part = lambda name: F.coalesce(F.try_variant_get(whole, f"$.{name}", "string"), F.lit(""))
+    # The order of fields is that of the text; objects of the variant type would sort them.
+    part = lambda name: F.coalesce(F.get_json_object(text, f"$.{name}"), F.lit(""))
     fields = F.from_json(part("fields"), "map<string,string>")
     tables = F.from_json(part("tables"), "array<struct<table_name:string,rows:array<map<string,string>>>>")
-    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.struct(fields.alias("fields"), tables.alias("tables")))
+    return F.when(F.startswith(F.get_json_object(text, "$"), F.lit("{")), F.struct(fields.alias("fields"), tables.alias("tables")))
 
 
 def fields_of(answers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import checks, dedup, grounding, layout, quality, scoring
 from paperloom.plans.catalog import register, table
+from paperloom.scratch import written
 
 #: Every word of a document with a box made from its place: 40 lines are a page.
 WORDS_SQL = """
@@ -102,7 +103,7 @@ def value_grounding(spark, d):
 @register("word_fallback", f"""WITH {WORDS_SQL}
 , v AS (SELECT document_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS norm FROM words WHERE word_idx = 1),
 w AS (SELECT *, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS norm FROM words)
-SELECT document_id, 'value' AS name, 'word' AS method, 1.0 AS score, text AS raw_text, page, x, y, width, height FROM (
+SELECT document_id, 'value' AS name, 'word' AS method, CAST(1.0 AS DOUBLE) AS score, text AS raw_text, page, x, y, width, height FROM (
   SELECT w.*, row_number() OVER (PARTITION BY w.document_id ORDER BY page, word_idx) AS r FROM w JOIN v ON v.document_id = w.document_id AND v.norm = w.norm WHERE v.norm <> '') WHERE r = 1""")
 def word_fallback(spark, d):
     words = words_of(spark, d)
@@ -151,11 +152,11 @@ def exact_dup(spark, d):
 def _signs(spark, d):
     """64 signs of an embedding about its median, as 16 digits: the shape of a perceptual hash. With the query side
     changed in up to 8 low bits the distances straddle the threshold."""
-    median = F.element_at(F.array_sort("embedding"), F.lit(33))
-    bits = F.array_join(F.transform("embedding", lambda x: F.when(x >= median, "1").otherwise("0")), "")
-    # Digits one by one: a number of 64 bits does not fit.
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.lower(F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 2, 16))), "")
-    return table(spark, d, "embeddings").select("vec_id", digits.alias("h"), F.bin(F.col("vec_id") % 256).alias("flips"))
+    # What a lambda takes from outside is computed again for every element, so the median goes in as an array.
+    median = F.array_repeat(F.element_at(F.array_sort("embedding"), F.lit(33)), F.size("embedding"))
+    bits = F.array_join(F.zip_with("embedding", median, lambda x, m: F.when(x >= m, "1").otherwise("0")), "")
+    digits = F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("([01]{4})"), F.lit(1)), lambda g: F.lower(F.conv(g, 2, 16))), "")
+    return written(table(spark, d, "embeddings").select("vec_id", digits.alias("h")), "signs")
 
 
 HASH_SQL = """
