@@ -111,3 +111,25 @@ def recompression_error(image: np.ndarray, codec: Callable[[np.ndarray], np.ndar
         return {"mean_difference": float(diff.mean()), "percent_above": percent, "is_flagged": percent > share}
     except (ValueError, RuntimeError, OSError):
         return {"mean_difference": 0.0, "percent_above": 0.0, "is_flagged": False}
+
+
+def cropped(image: np.ndarray, rectangle: tuple[int, int, int, int] | None) -> np.ndarray | None:
+    """Part of an image; rectangle is left, top, right, bottom."""
+    if rectangle is None:
+        return None
+    left, top, right, bottom = rectangle
+    return image[top:bottom, left:right]
+
+
+COLOURS = {"green": (0, 160, 0), "amber": (255, 165, 0), "red": (220, 0, 0)}
+
+
+def with_boxes(image: np.ndarray, boxes: list[tuple[int, int, int, int, str]], thickness: int = 2) -> np.ndarray:
+    """A copy with frames around boxes (x, y, width, height, colour)."""
+    out = image.copy()
+    for x, y, w, h, colour in boxes:
+        outer, inner = (slice(max(0, y), y + h), slice(max(0, x), x + w)), (slice(max(0, y + thickness), max(0, y + h - thickness)), slice(max(0, x + thickness), max(0, x + w - thickness)))
+        keep = out[inner].copy()
+        out[outer] = COLOURS[colour]
+        out[inner] = keep
+    return out

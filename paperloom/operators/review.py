@@ -107,3 +107,19 @@ def verify_pin(pins: dict[str, str], role: str | None, entered: object) -> bool:
     """pins by role, from configuration; never written in code."""
     expected = pins.get(str(role).strip().lower()) if role else None
     return expected is not None and entered is not None and str(entered).strip() == str(expected).strip()
+
+
+def reveal_attempts(attempts: DataFrame, pins: DataFrame) -> DataFrame:
+    """Audit events of attempts (document_id, role, entered, timestamp, seq) to see masked fields. pins (role, pin) come
+    from configuration; an unknown role fails."""
+    known = pins.select(F.lower(F.trim("role")).alias("role_key"), F.trim("pin").alias("pin"))
+    tried = attempts.withColumn("role_key", F.lower(F.trim("role"))).join(F.broadcast(known), "role_key", "left")
+    ok = F.coalesce(F.trim("entered") == F.col("pin"), F.lit(False))
+    action = F.when(ok, "confidential_field_revealed").otherwise("confidential_reveal_failed")
+    return tried.select("document_id", action.alias("action"), F.coalesce("role", F.lit("")).alias("actor"), "timestamp", F.when(ok, "fields shown").otherwise("wrong pin").alias("detail"), "seq")
+
+
+def revealed(log: DataFrame) -> DataFrame:
+    """(document_id) of documents whose fields were shown after the last time that they were hidden."""
+    last = log.filter(F.col("action").isin("confidential_field_revealed", "confidential_field_masked")).groupBy("document_id").agg(F.max_by("action", "seq").alias("action"))
+    return last.filter("action = 'confidential_field_revealed'").select("document_id")

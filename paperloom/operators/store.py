@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.scores import overall_status
+
 SCHEMAS = {
     "documents": "document_id string, file_hash_sha256 string, perceptual_hash string, upload_timestamp string, full_result_json string, doc_type string, seq long",
     "audit_log": "document_id string, action string, actor string, timestamp string, detail string, seq long",
@@ -77,3 +79,21 @@ class Store:
 
     def record(self, events: DataFrame, batch: int) -> None:
         self.append("audit_log", events.withColumn("timestamp", F.coalesce("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))), batch)
+
+    def apply_corrections(self, schema: str, corrections: DataFrame, batch: int) -> None:
+        """Corrections (as correct() takes them) written into the stored results too: value, full score, green. Their audit
+        events and the new JSON are one batch."""
+        self.correct(corrections, batch)
+        last = corrections.groupBy("document_id", "field_name").agg(F.max_by("corrected_value", "seq").alias("v"), F.max("seq").alias("seq"))
+        changes = last.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "v"))).alias("changes"), F.max("seq").alias("seq"))
+        held = self.processed(schema).select("document_id", "r").join(changes, "document_id")
+        field = lambda f: F.when(
+            F.map_contains_key("changes", f["name"]),
+            f.withField("value", F.element_at("changes", f["name"])).withField("confidence.combined_score", F.lit(1.0)).withField("confidence.bucket", F.lit("green")),
+        ).otherwise(f)
+        result = F.col("r").withField("extracted_fields", F.transform("r.extracted_fields", field))
+        red = F.exists(F.coalesce(result["extracted_fields"], F.array()), lambda f: f["confidence"]["bucket"] == "red")
+        failed = F.exists(F.coalesce(F.col("r.cross_checks"), F.array()), lambda c: ~c["passed"])
+        high = F.exists(F.coalesce(F.col("r.tamper_flags"), F.array()), lambda c: F.lower(c["severity"]) == "high")
+        result = result.withField("overall_status", overall_status(F.lit("ok"), red, failed, high))
+        self.save_json(held.select("document_id", F.to_json(result, {"ignoreNullFields": "false"}).alias("full_result_json"), "seq"), batch)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
 from paperloom.functions.scores import bucket
-from paperloom.operators import extraction, privacy, retrieval, review, store
+from paperloom.operators import display, extraction, privacy, retrieval, review, store
 from paperloom.plans.catalog import register, table
 
 
@@ -244,3 +244,37 @@ def extraction_prompts(spark, d):
     prompt = extraction.extraction_prompt(kind, F.col("text"), F.when(F.col("doc_id") % 2 == 0, "- near 'x' the right y is 'z'"))
     field = F.element_at(F.create_map(*[F.lit(x) for t, s in K.SCHEMAS.items() for x in (t, next(iter(s["fields"]), "no such field"))]), kind)
     return docs.select("doc_id", F.length("text").cast("long").alias("n_text"), F.endswith(prompt, F.col("text")).alias("has_text"), F.contains(prompt, F.concat(F.lit("Fields: "), field)).alias("has_schema"), F.contains(prompt, F.lit("Earlier corrections:")).alias("has_memory"))
+
+
+@register("export_records", f"""WITH {FIELDS_SQL}
+SELECT document_id, '[' || string_agg('{{"name":"' || name || '","value":"' || CASE WHEN NOT h THEN value WHEN field_type = 'id_number' THEN 'XXXX-XXXX-' || right(value, 4) WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE left(value, 1) || repeat('*', length(value) - 2) || right(value, 1) END || '","bucket":"' || bucket || '"}}', ',' ORDER BY pos) || ']' AS record
+FROM (SELECT *, field_type = 'id_number' OR name IN ('iban', 'tax_id') AS h FROM fields) GROUP BY 1""")
+def export_records(spark, d):
+    """Fields of every document as JSON, personal values masked."""
+    return display.exported(privacy.masked_fields(fields_of(spark, d)), masked=True)
+
+
+@register("field_frame", f"""WITH {FIELDS_SQL}
+SELECT document_id, pos, CASE name WHEN 'vendor_name' THEN 'Vendor Name' WHEN 'invoice_number' THEN 'Invoice Number' WHEN 'iban' THEN 'Iban' WHEN 'tax_id' THEN 'Tax Id' ELSE 'Segment' END AS field, bucket AS confidence FROM fields""")
+def field_frame(spark, d):
+    return display.field_frame(privacy.masked_fields(fields_of(spark, d))).select("document_id", "pos", "field", "confidence")
+
+
+@register("reveal_attempts", """
+SELECT user_id AS document_id, event_id AS seq, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'confidential_field_revealed' ELSE 'confidential_reveal_failed' END AS action, CASE event_id % 3 WHEN 0 THEN ' Admin' WHEN 1 THEN 'guest' ELSE 'reviewer' END AS actor FROM events
+""")
+def reveal_attempts(spark, d):
+    """Attempts of three roles, of which one has a pin that is right every second time."""
+    k = F.col("event_id")
+    tries = table(spark, d, "events").select(F.col("user_id").alias("document_id"), F.when(k % 3 == 0, " Admin").when(k % 3 == 1, "guest").otherwise("reviewer").alias("role"), F.when(k % 2 == 0, " s1").otherwise("s2").alias("entered"), F.col("ts").cast("string").alias("timestamp"), k.alias("seq"))
+    pins = spark.createDataFrame([("admin", "s1"), ("Reviewer", "s3")], "role string, pin string")
+    return review.reveal_attempts(tries, pins).select("document_id", "seq", "action", "actor")
+
+
+@register("reference_names", """
+SELECT event_id AS answer_id, CAST(user_id AS VARCHAR) || '-document' AS document_id, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) || '.pdf' ELSE left(CAST(user_id AS VARCHAR) || '-document', 8) END AS shown FROM events
+""")
+def reference_names(spark, d):
+    e = table(spark, d, "events").withColumn("document_id", F.concat(F.col("user_id").cast("string"), F.lit("-document")))
+    held = e.filter("user_id % 2 = 0").select("document_id", F.concat(F.col("user_id").cast("string"), F.lit(".pdf")).alias("original_filename"), F.col("event_id").alias("seq"))
+    return display.reference_names(e.select(F.col("event_id").alias("answer_id"), "document_id"), held)

@@ -188,6 +188,8 @@ def test_pixels():
     bar[12:18, 5:55] = 0
     assert 3 < pixels.stroke_width(bar) < 6 and pixels.stroke_width(np.full((5, 5), 9.0)) == 0
     assert pixels.bilateral(image).shape == image.shape and (pixels.bilateral(np.full((12, 12, 3), 9, np.uint8)) == 9).all()
+    framed = pixels.with_boxes(image, [(5, 5, 10, 10, "red")])
+    assert (framed[5, 5] == (220, 0, 0)).all() and (framed[9, 9] == image[9, 9]).all() and pixels.cropped(image, (0, 0, 4, 3)).shape == (3, 4, 3) and pixels.cropped(image, None) is None
     assert not pixels.recompression_error(image, None)["is_flagged"] and pixels.recompression_error(image, lambda i: 255 - i)["is_flagged"]
 
 
@@ -248,3 +250,17 @@ def test_whole_run(spark, tmp_path):
     (tmp_path / "in" / "d.txt").write_text(invoice)
     run()
     assert store.current().count() == 2
+    change = spark.createDataFrame([(got["invoice"]["document_id"], "invoice", "due_date", "01/06/2024", "01/07/2024", "Ann", "2024-07-01", "Due Date: 01/06/2024", 5_000_000_000)], "document_id string, doc_type string, field_name string, original_value string, corrected_value string, corrected_by string, corrected_at string, ocr_context_snippet string, seq long")
+    store.apply_corrections(RESULT, change, 50)
+    fixed = {f["name"]: f for f in store.result(got["invoice"]["document_id"], RESULT).first()["result"]["extracted_fields"]}
+    assert fixed["due_date"]["value"] == "01/07/2024" and fixed["due_date"]["confidence"]["combined_score"] == 1.0 and fixed["vendor_name"]["value"] == "ACME Corp"
+    from paperloom.plans.questions import answer
+
+    class Says:
+        def complete(self, prompt):
+            assert "ACME Corp" in prompt and "INV-001" not in prompt
+            return f'It is ACME. REFERENCED_DOCS: ["{got["invoice"]["document_id"]}"]'
+
+    told = answer(store, "Who is the vendor?", Says(), [{"role": "user", "content": "hello"}])
+    assert told == {"answer": "It is ACME.", "referenced_documents": [got["invoice"]["document_id"]]}
+    assert answer(Store(spark, str(tmp_path / "none")), "x", Says())["referenced_documents"] == []
