@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, simhash, substring_dedup, toxicity
+from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, quality, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_packing": packing.op1_packing,
         "op2_simhash": simhash.op2_simhash,
         "op3_language_id": language_id.op3_language_id,
+        "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
