@@ -15,14 +15,15 @@ document the largest counts. An empty table gives no rows. Further columns are i
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import documents, fold, map_batches
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 TRAIN_ROWS = 24_000  #: labelled rows to fit on, about
 LEXICON = 400  #: terms at most
@@ -32,7 +33,7 @@ CACHE_WORDS = 400_000
 REPORTING = frozenset("said says quoted quote quotes wrote writes called reported cited term word never not sagte schrieb zitat nicht dit cité écrit pas dijo escribió citado".split())
 ADDRESS = frozenset("you your youre du dich dir dein ihr tu toi vous votre te tú usted eres".split())
 QUOTES = "\"'“”„«»‘’`"
-NOT_LETTERS = r"[^\p{L}\p{N}]+"
+WORDS = re.compile(r"[^\W_]+").findall
 
 
 class Matcher:
@@ -172,21 +173,33 @@ class Scorer:
         return float(1 / (1 + math.exp(-float(np.clip(self.features(text) @ self.weights, -40, 40)))))
 
 
-def lexicon(sample: DataFrame, size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """Words and beginnings of words with the largest log-odds of toxic documents over the others."""
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    positive, negative = n.get(1, 0), n.get(0, 0)
+def term_counts(sample: DataFrame) -> DataFrame:
+    """(term, stem, n0, p0, n1, p1): documents that hold a word or a beginning of words, clean and toxic, in each half
+    of sample (text, toxic, half). Counted by batch before they are dealt."""
+
+    def work(batch):
+        counts: dict[tuple[str, bool], list[int]] = {}
+        for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
+            words = {w for w in WORDS(text.lower()) if 2 < len(w) < 40}
+            at = 2 * half + toxic
+            for key in [*((w, False) for w in words), *((s, True) for s in {w[:STEM] for w in words if len(w) > STEM})]:
+                if key not in counts:
+                    counts[key] = [0, 0, 0, 0]
+                counts[key][at] += 1
+        return {"term": [k[0] for k in counts], "stem": [k[1] for k in counts]} | {n: [v[i] for v in counts.values()] for i, n in enumerate(("n0", "p0", "n1", "p1"))}
+
+    rows = map_batches(sample.select("text", "toxic", "half"), lambda: work, "term string, stem boolean, n0 long, p0 long, n1 long, p1 long")
+    return rows.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")])
+
+
+def lexicon(counts: DataFrame, positive: int, negative: int, p: Column, q: Column, size: int = LEXICON) -> list[tuple[str, bool, float]]:
+    """Words and beginnings of words with the largest log-odds of toxic documents (p of positive) over the others."""
     if not positive or not negative:
         return []
-    words = F.array_distinct(F.split(F.lower("text"), NOT_LETTERS))
-    words = F.filter(words, lambda w: (F.length(w) > 2) & (F.length(w) < 40))
-    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.struct(F.substring(w, 1, STEM).alias("term"), F.lit(True).alias("stem")))
-    terms = F.array_distinct(F.concat(F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(False).alias("stem"))), stems))
-    counted = sample.select("toxic", F.explode(terms).alias("t")).groupBy("t.term", "t.stem").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (positive + 1)) - F.log((F.col("q") + 0.5) / (negative + 1))
+    odds = F.log((p + 0.5) / (positive + 1)) - F.log((q + 0.5) / (negative + 1))
     least = max(2, positive // 500)
     # Evidence: log-odds by the root of the documents that hold the term.
-    top = counted.filter(F.col("p") >= least).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("p")), "term", "stem").limit(size)
+    top = counts.filter(p >= least).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt(p)), "term", "stem").limit(size)
     return [(r["term"], r["stem"], float(r["odds"])) for r in top.collect()]
 
 
@@ -209,18 +222,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     n = known.count()
     share = min(1.0, train_rows / n) if n else 0.0
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = written(docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id"), "toxic-sample")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
+    sample = written(docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").withColumn("half", half), "toxic-sample")
+    n = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, p0, n1, p1 = (n.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1)))
+    counts = written(term_counts(sample), "toxic-terms")
     # The lexicon that weighs a row is learned from the other half, so that weights are not too sure of it.
-    rows = []
-    for part in (half, ~half):
-        terms = lexicon(sample.filter(part))
-        rows.append(_featured(sample.filter(~part), terms))
-    table = rows[0].union(rows[1]).toArrow()
+    by_0 = lexicon(counts, p0, n0, F.col("p0"), F.col("n0"))
+    by_1 = lexicon(counts, p1, n1, F.col("p1"), F.col("n1"))
+    table = _featured(sample.filter("half = 1"), by_0).union(_featured(sample.filter("half = 0"), by_1)).toArrow()
+    whole = lexicon(counts, p0 + p1, n0 + n1, F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1"))
+    discard(sample, counts)
     if table.num_rows == 0 or len(set(table["y"].to_pylist())) < 2:
         return [], None
     x = np.array(table["x"].to_pylist())
-    return lexicon(sample), logistic(x, table["y"].to_numpy().astype(float), table["n"].to_numpy().astype(float))
+    return whole, logistic(x, table["y"].to_numpy().astype(float), table["n"].to_numpy().astype(float))
 
 
 def _featured(sample: DataFrame, terms: list) -> DataFrame:
