@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 
 def _star(links: DataFrame, step: str) -> DataFrame:
@@ -17,14 +17,17 @@ def _star(links: DataFrame, step: str) -> DataFrame:
     if step == "large":
         both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.filter("v > u").join(written(least, "star-least"), "u")
+        least = written(least, "star-least")
+        joined = both.filter("v > u").join(least, "u")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = written(down.groupBy("u").agg(F.min("v").alias("m")), "star-least")
         joined = down.join(least, "u")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-    return written(out.filter("u != v").distinct(), f"star-{step}")
+    out = written(out.filter("u != v").distinct(), f"star-{step}")
+    discard(least, links)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,4 +43,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = after
     # At the end every link is from a node to the smallest node of its component.
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+    found = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct()), "components")
+    discard(now)
+    return found

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import map_batches
 from paperloom.llm.components import components
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 COSINE, TABLES, PROJECTIONS, WIDTH, SEED = 0.98, 16, 10, 1.3, 20240229
 
@@ -99,7 +99,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int =
     degree = sides.groupBy("rep").agg(F.sum("n").alias("outside"))
     named = classes.select("digest", "rep", "n").join(degree, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", (F.col("n") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("vec_id", "digest").join(written(named, "vector-named"), "digest", "left")
+    named = written(named, "vector-named")
+    discard(classes, links, found)
+    out = rows.select("vec_id", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import ascii_lower, documents
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 BITMAP_BITS = 32768  #: bits in one bitmap of bitmap_construct_agg
 BITS_PER_DIGEST = 16
@@ -62,7 +62,9 @@ def compact(runs: DataFrame, memtables: int) -> DataFrame:
         elsewhere = elsewhere | ((F.col("run") != g) & _has(F.col(f"bits_{g}"), F.col("bit")))
     probed = written(probed.select("digest", "low_id", "high_id", "n", elsewhere.alias("elsewhere")), "digest-probed")
     merged = probed.filter("elsewhere").groupBy("digest").agg(F.min("low_id").alias("low_id"), F.max("high_id").alias("high_id"), F.sum("n").alias("n"))
-    return written(probed.filter("not elsewhere").select(*merged.columns).unionByName(merged).sortWithinPartitions("digest"), "digest-index")
+    index = written(probed.filter("not elsewhere").select(*merged.columns).unionByName(merged).sortWithinPartitions("digest"), "digest-index")
+    discard(runs, probed)
+    return index
 
 
 def exact_duplicates(docs: DataFrame, *, keep: str = "largest", memtables: int = 4, digest=sha256_digest) -> DataFrame:
@@ -84,7 +86,10 @@ def exact_duplicates(docs: DataFrame, *, keep: str = "largest", memtables: int =
     keepers = written(keepers, "digest-keepers")
     differing = members.join(keepers, "keep_id").filter(F.col("norm") != F.col("keep_norm")).select("digest").distinct()
     differing = written(differing, "digest-differing")
-    if not differing.isEmpty():
+    discard(keepers)
+    if differing.isEmpty():
+        discard(members, differing)
+    else:
         apart = members.join(differing, "digest")
         regrouped = written(apart.groupBy("digest", "norm").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-regrouped")
         again = apart.select("doc_id", "digest", "norm").join(regrouped, ["digest", "norm"]).select("digest", "doc_id", "keep_id", "group_size")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import documents, map_batches
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9  #: least probability of a candidate that is added
@@ -239,7 +239,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_text(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets; other columns as they are."""
-    weights = train(written(found_spans(docs), "pii-found"))
+    found = written(found_spans(docs), "pii-found")
+    weights = train(found)
+    discard(found)
     m = len(LABELERS)
 
     def accepted(kind: str, v: list[int]) -> bool:

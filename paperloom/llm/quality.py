@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import documents, fold, map_batches
 from paperloom.llm.toxicity import scorer
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 TRAIN_ROWS = 12_000  #: rated rows to fit on, about
 SLOT_BITS = 18
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, ratings: DataFrame, *, train_rows: int = TRAIN_ROWS, ro
 
     rows = map_batches(sample.selectExpr("cast(doc_id as long) doc_id", "text", "grade"), lambda: work, "doc_id long, grade int, i array<int>, v array<float>")
     table = rows.toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    discard(sample)
     if table.num_rows == 0 or len(set(table["grade"].to_pylist())) < 2:
         return None
     flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in table[c].chunks])
