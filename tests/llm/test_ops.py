@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, components, embedding_dedup, exact_dedup, language_id, packing, pii, simhash, substring_dedup, toxicity
+from paperloom.llm import bpe, components, embedding_dedup, exact_dedup, language_id, packing, pii, quality, simhash, substring_dedup, toxicity
 
 rnd = random.Random(7)
 VOCABULARY = [f"{a}{b}" for a in ("mor", "tal", "vin", "és", "gru") for b in ("an", "el", "ik", "op", "ü")]
@@ -80,7 +80,7 @@ def test_every_pair_within_four_bits_shares_a_key():
     y = x.copy()
     for _ in range(4):
         y ^= np.where(rng.random(3000) < 0.9, np.int64(1) << rng.integers(0, 63, 3000), 0)
-    (a, i), (b, j) = fuzzy.keys(x), fuzzy.keys(y)
+    (a, i, _), (b, j, _) = fuzzy.keys(x), fuzzy.keys(y)
     assert set(range(3000)) == {r for k, r in set(zip(a.tolist(), i.tolist(), strict=True)) & set(zip(b.tolist(), j.tolist(), strict=True))}
 
 
@@ -279,3 +279,27 @@ def test_empty_tables(spark, empty):
     assert pii.spans(empty).count() == 0
     assert embedding_dedup.near_duplicates(table(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
     assert toxicity.scored(empty, toxicity.fit(empty, table(spark, [], "doc_id long, toxic int"))).count() == 0
+
+
+def test_quality(spark, empty):
+    def text(grade):
+        return " ".join(w.upper() + "!!" if rnd.random() > grade / 2 else w for w in sentence(60).split())
+
+    rows = [(i, text(i % 3)) for i in range(240)] + [(300, None), (301, ""), (302, "  ")]
+    frame = table(spark, rows)
+    ratings = table(spark, [(i, i % 3) for i in range(180)] + [(0, None), (None, 2), (1, 0)], "doc_id long, grade int")
+    model = quality.fit(frame, ratings, rounds=100)
+    got = {r["doc_id"]: r for r in quality.graded(frame, model).collect()}
+    assert all(round(got[i]["expected_grade"]) == i % 3 for i in range(180, 240))
+    assert all(1 >= r["tails"][0] >= r["tails"][1] >= 0 and abs(sum(r["tails"]) - r["expected_grade"]) < 1e-9 for r in got.values())
+    assert got[300]["expected_grade"] == got[301]["expected_grade"] == got[302]["expected_grade"]
+    assert quality.fit(frame, ratings.filter("grade = 1")) is None
+    assert quality.graded(frame, None).first()["expected_grade"] == 0.0 and quality.graded(empty, model).count() == 0
+
+
+def test_ordinal_gradient_finds_the_thresholds():
+    # One feature that says nothing: probabilities are the shares of the grades.
+    grade = np.array([0] * 50 + [1] * 30 + [2] * 20)
+    model = quality.train(np.zeros(100, np.int64), np.ones(100), np.arange(101), grade, bits=4, rounds=400)
+    _, tails = model.grades(float(model.weights[0]))
+    assert abs(tails[0] - 0.5) < 0.02 and abs(tails[1] - 0.2) < 0.02
