@@ -7,8 +7,10 @@ window: the stretch of all windows that it stands for. A stretch that also occur
 whole. Where a stretch has no earlier equal but its seed does (the ends of repeated passages), its windows
 are compared one by one. Nothing else is hashed, sorted or sent.
 
-Seeds and stretches are compared in one shuffle by the seed; windows by 128 bits. Documents are dealt once by
-their id, for the windows as for the result. Windows are judged on the input, not on what is left.
+What a document repeats within itself is sent once and marked; the last step covers its other places too. Seeds
+and stretches are compared in one shuffle by the seed; windows by 128 bits, with minima combined before they are dealt
+and joined back, so that a window which very many documents hold is split. Windows are judged on the input, not on
+what is left.
 
 A null text has no words. Documents shorter than a window keep all words. Rows with a null id keep all words and
 are nobody's earlier document. Rows that repeat an id and its text get equal results; rows that repeat an id with
@@ -30,7 +32,7 @@ from paperloom.scratch import written
 
 LENGTH, SEED_WORDS = 13, 4
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-SPAN = 1024  #: a place is start * SPAN + words
+SPAN = 1024  #: a place is start * SPAN + words; negative if the document has the same words elsewhere too
 
 
 def words(text: str | None) -> list[bytes]:
@@ -90,6 +92,15 @@ def seeds(h: np.ndarray, length: int = LENGTH, seed_words: int = SEED_WORDS) ->
     return grams[place[first]], stretch, first, last - first + length
 
 
+def firsts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first of each equal pair (a, b), and whether there are more."""
+    order = np.lexsort((np.arange(len(a)), b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.append(starts, len(a))) > 1
+
+
 def occurrences(docs: DataFrame, length: int, seed_words: int) -> DataFrame:
     """(doc_id, place, done) of stretches that are covered whole (done) or whose windows are to be compared."""
 
@@ -98,10 +109,11 @@ def occurrences(docs: DataFrame, length: int, seed_words: int) -> DataFrame:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seed, stretch, start, count = seeds(word_hashes(words(text)), length, seed_words)
             if len(seed):
-                out["seed"].append(seed.view(np.int64))
-                out["stretch"].append(stretch.view(np.int64))
-                out["doc_id"].append(np.full(len(seed), doc_id, np.int64))
-                out["place"].append(start * SPAN + count)
+                at, more = firsts(seed, stretch)
+                out["seed"].append(seed[at].view(np.int64))
+                out["stretch"].append(stretch[at].view(np.int64))
+                out["doc_id"].append(np.full(len(at), doc_id, np.int64))
+                out["place"].append(np.where(more, -1, 1) * (start[at] * SPAN + count[at]))
         return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}
 
     rows = map_batches(docs, lambda: work, "seed long, stretch long, doc_id long, place long").repartition("seed")
@@ -117,30 +129,55 @@ def covered_windows(texts: DataFrame, found: DataFrame, length: int) -> DataFram
     places = found.filter("open").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
     def work(batch):
-        out = {k: [] for k in ("a", "b", "doc_id", "start")}
+        out = {k: [] for k in ("a", "b", "doc_id", "place")}
         for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
             h = word_hashes(words(text))
-            start = np.unique(np.concatenate([np.arange(p // SPAN, p // SPAN + p % SPAN - length + 1) for p in places]))
-            start = start[start + length <= len(h)]
-            out["a"].append(Ranges(h).get(start, start + length).view(np.int64))
-            out["b"].append(Ranges(h, 1).get(start, start + length).view(np.int64))
-            out["doc_id"].append(np.full(len(start), doc_id, np.int64))
-            out["start"].append(start)
+            start, marked = windows_of(places, length, len(h))
+            one, two = Ranges(h).get(start, start + length), Ranges(h, 1).get(start, start + length)
+            at, more = firsts(one, two)
+            more |= marked[at]
+            out["a"].append(one[at].view(np.int64))
+            out["b"].append(two[at].view(np.int64))
+            out["doc_id"].append(np.full(len(at), doc_id, np.int64))
+            out["place"].append(np.where(more, -1, 1) * (start[at] * SPAN + length))
         return {k: np.concatenate(v) for k, v in out.items()}
 
-    rows = map_batches(texts.join(places, "doc_id"), lambda: work, "a long, b long, doc_id long, start long")
-    earlier = F.min("doc_id").over(Window.partitionBy("a", "b")) < F.col("doc_id")
-    return rows.withColumn("earlier", earlier).filter("earlier").select("doc_id", (F.col("start") * SPAN + length).alias("place"))
+    rows = written(map_batches(texts.join(places, "doc_id"), lambda: work, "a long, b long, doc_id long, place long"), "substring-windows")
+    # A window that very many documents hold: minima are combined before they are dealt, and the join with them is split.
+    first = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first.select("a", "b", "first_id"), "substring-firsts")
+    return rows.join(first, ["a", "b"]).filter("first_id < doc_id").select("doc_id", "place")
+
+
+def windows_of(places: list[int], length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows in places, and whether their places are marked; only those within n words."""
+    start, marked = [], []
+    for p in places:
+        own = np.arange(abs(p) // SPAN, abs(p) // SPAN + abs(p) % SPAN - length + 1)
+        start.append(own)
+        marked.append(np.full(len(own), p < 0))
+    start, marked = np.concatenate(start), np.concatenate(marked)
+    inside = start + length <= n
+    return start[inside], marked[inside]
 
 
-def kept_words(parts: list[bytes], places: list[int] | None) -> list[bytes]:
+def kept_words(parts: list[bytes], places: list[int] | None, length: int) -> list[bytes]:
     if not places:
         return parts
     edges = np.zeros(len(parts) + 1, np.int64)
-    p = np.array(places)
+    p = np.abs(np.array(places))
     start, end = np.minimum(p // SPAN, len(parts)), np.minimum(p // SPAN + p % SPAN, len(parts))
     np.add.at(edges, start, 1)
     np.add.at(edges, end, -1)
+    marked = [x for x in places if x < 0]
+    if marked:
+        # All windows of the document that equal one in a marked place.
+        own = Ranges(word_hashes(parts))
+        every = np.arange(len(parts) - length + 1)
+        hashes = own.get(every, every + length)
+        again = every[np.isin(hashes, hashes[windows_of(marked, length, len(parts))[0]])]
+        np.add.at(edges, again, 1)
+        np.add.at(edges, again + length, -1)
     keep = (np.cumsum(edges[:-1]) == 0).tolist()
     return [w for w, k in zip(parts, keep, strict=True) if k]
 
@@ -161,7 +198,7 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, seed_words: int = SEE
         n, removed, kept = [], [], []
         for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
             parts = words(text)
-            left = kept_words(parts, places)
+            left = kept_words(parts, places, length)
             joined = b" ".join(left)
             n.append(len(parts))
             removed.append(len(parts) - len(left))
