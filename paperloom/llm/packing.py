@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -30,6 +31,7 @@ from paperloom.scratch import written
 WINDOW, END_ID = 4096, 2
 PIECES_A_SHARD = 4096
 CACHE_WORDS = 300_000  #: entries a worker process keeps over its tasks
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space other than blank, tab and line ends: a text with any is tokenised in one call.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -42,7 +44,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of letters alone, in lower case
+        self.others: dict[str, bytes] = {}
         # The characters that stand for bytes: printable ones for themselves, the others from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -54,26 +57,31 @@ class WordTokenizer:
     def _letters(self, word: str) -> bytes:
         """A lower-case word of letters is one piece: the model alone, without normalising and splitting."""
         spelled = word if word.isascii() else "".join(map(self.byte_chars.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _kept(self, key: str, fresh) -> bytes:
-        found = self.words.get(key)
+    def _kept(self, held: dict[str, bytes], key: str, fresh) -> bytes:
+        found = held.get(key)
         if found is None:
             found = fresh(key)
             if len(key) < 64:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[key] = found
+                if len(held) >= CACHE_WORDS:
+                    held.clear()
+                held[key] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        """Letters followed by stops are two pieces, and case makes no difference to ids."""
-        core = word.rstrip(".,")
+        """Letters followed by marks are two pieces, and case makes no difference to ids."""
+        core = word.rstrip(MARKS)
         lowered = core.lower()
-        if lowered.isalpha() and "Σ" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-            found = self._kept(lowered, self._letters)
-            return found + self._kept(word[len(core) :], self._fresh) if len(core) < len(word) else found
-        return self._kept(word, self._fresh)
+        found = self.words.get(lowered)
+        if found is None:
+            if not (lowered.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core))):
+                return self._kept(self.others, word, self._fresh)
+            found = self._kept(self.words, lowered, self._letters)
+        if "Σ" in core:
+            return self._kept(self.others, word, self._fresh)
+        return found if len(core) == len(word) else found + self._kept(self.others, word[len(core) :], self._fresh)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
