@@ -1,31 +1,31 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds, in each slot, one bit a language. An n-gram is looked up at several hashed
+A bit-sliced Bloom filter holds, in each slot, one bit a language, 64 languages a word. An n-gram is looked up at several hashed
 slots; their AND is the set of all languages that may contain it. A text's score for a language is the
 number of its n-grams with that language's bit, less the false positives expected from the share of that
 language's bits that are set. The language with the highest corrected count is predicted.
 
 Training reads a bounded number of labelled rows (train_rows, chosen by a hash of the id) and counts their
-n-grams in hashed counters on the executors; the driver gets at most languages x 2**slot_bits counts.
+n-grams in hashed counters on the executors; the driver gets the filter alone, of 2**slot_bits words for 64 languages.
 A language's bit is inserted for n-grams that are not rare in it compared to the language where they are
 most frequent.
 
 Null texts, empty texts and texts without a letter are `und` with score 0; so is a text none of whose n-grams
 is known. Ties go to the language that comes first by name. Labels that are null or empty are not learned;
-without any label every text is `und`. At most 64 languages. Further columns are ignored.
+without any label every text is `und`. Every other label is learned, however many there are. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import documents, fold, map_batches
+from paperloom.scratch import discard, written
 
 TRAIN_ROWS = 6_000  #: labelled rows to fit on, about
+LEAST_ROWS = 50  #: rows of each language to fit on, about, where there are so many
 SLOT_BITS = 20
 HASHES = 2
 ORDERS = (2, 4)  #: lengths of the n-grams in characters, word borders included
@@ -75,11 +75,11 @@ def slots(h: np.ndarray, k: int, bits: int = SLOT_BITS) -> np.ndarray:
 
 
 class Filter:
-    """masks: uint64 a slot, a bit a language; filled: share of slots with each bit."""
+    """masks: for each 64 languages, uint64 a slot with a bit a language; filled: share of slots with each bit."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
         self.languages, self.masks = languages, masks
-        self.filled = np.array([np.count_nonzero(masks >> np.uint64(i) & np.uint64(1)) / len(masks) for i in range(len(languages))])
+        self.filled = np.array([np.count_nonzero(masks[i >> 6] >> np.uint64(i & 63) & np.uint64(1)) / masks.shape[1] for i in range(len(languages))])
         self.false_rate = self.filled**HASHES
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -91,15 +91,18 @@ class Filter:
         counts, total = np.zeros(len(self.languages)), 0
         for at in range(0, len(points), 1 << 20):  # very long texts by parts that overlap by an n-gram
             h = ngram_hashes(points[at : at + (1 << 20) + max(ORDERS) - 1])
-            got = self.masks[slots(h, 0)]
-            for k in range(1, HASHES):
-                got = got & self.masks[slots(h, k)]
-            seen = np.bincount(got, minlength=1 << len(self.languages)) if len(self.languages) <= 12 else None
-            for i in range(len(self.languages)):
-                if seen is not None:
-                    counts[i] += seen[np.arange(len(seen)) >> i & 1 == 1].sum()
-                else:
-                    counts[i] += np.count_nonzero(got >> np.uint64(i) & np.uint64(1))
+            at_slots = [slots(h, k) for k in range(HASHES)]
+            for first in range(0, len(self.languages), 64):
+                masks, n = self.masks[first >> 6], min(64, len(self.languages) - first)
+                got = masks[at_slots[0]]
+                for x in at_slots[1:]:
+                    got = got & masks[x]
+                seen = np.bincount(got, minlength=1 << n) if n <= 12 else None
+                for i in range(n):
+                    if seen is not None:
+                        counts[first + i] += seen[np.arange(len(seen)) >> i & 1 == 1].sum()
+                    else:
+                        counts[first + i] += np.count_nonzero(got >> np.uint64(i) & np.uint64(1))
             total += len(h)
         corrected = np.maximum(0.0, (counts - total * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
         best = int(np.argmax(corrected))
@@ -111,56 +114,63 @@ class Filter:
 def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, slot_bits: int = SLOT_BITS) -> Filter:
     """Fit on labelled (doc_id, text, lang)."""
     labelled = labelled.filter("lang is not null and lang != '' and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))
-    by_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    by_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(by_lang)
     if not languages:
-        return Filter([], np.zeros(1 << slot_bits, np.uint64))
+        return Filter([], np.zeros((1, 1 << slot_bits), np.uint64))
     # As many rows of each language, by a hash of the id.
-    each = max(1, train_rows // len(languages))
-    share = reduce(lambda c, x: c.when(F.col("lang") == x, F.lit(min(1.0, each / by_lang[x]))), languages, F.when(F.lit(False), F.lit(0.0))).otherwise(0.0)
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    place = {x: i for i, x in enumerate(languages)}
-    size = 1 << slot_bits
+    each = max(LEAST_ROWS, train_rows // len(languages))
+    sampled = [min(by_lang[x], each) for x in languages]
+    known = [(x, i, n, min(1.0, each / by_lang[x]), min(2, max(1, n // 20))) for i, (x, n) in enumerate(zip(languages, sampled, strict=True))]
+    known = labelled.sparkSession.createDataFrame(known, "lang string, place int, sampled long, share double, least long")
+    sample = labelled.join(F.broadcast(known.select("lang", "place", "share")), "lang")
+    sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("text", "place")
+    size, words = 1 << slot_bits, -(-len(languages) // 64)
 
     def counted(batch) -> dict:
-        out = np.zeros((len(languages), size), np.float32)
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            h = ngram_hashes(letters(text))
-            if len(h):
-                at = np.unique(slots(h, 0, slot_bits))
-                out[place[lang], at] += 1
-        row, at = np.nonzero(out)
-        return {"lang": row.astype(np.int32), "slot": at.astype(np.int32), "n": out[row, at].astype(np.int64)}
+        found = [np.empty(0, np.int64)]
+        for text, place in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist(), strict=True):
+            found.append(np.unique(slots(ngram_hashes(letters(text)), 0, slot_bits)) + place * size)
+        at, n = np.unique(np.concatenate(found), return_counts=True)
+        return {"place": (at // size).astype(np.int32), "slot": (at % size).astype(np.int32), "n": n}
 
     # Documents that have an n-gram, by its first slot.
-    table = map_batches(sample, lambda: counted, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), size))
-    counts[table["lang"].to_numpy(), table["slot"].to_numpy()] = table["n"].to_numpy()
-    shares = counts / np.maximum(1, np.array([min(by_lang[x], each) for x in languages]))[:, None]
-    wanted = (shares >= SHARE * shares.max(axis=0)) & (counts >= min(2, max(1, each // 20)))
-    wanted_masks = np.zeros(size, np.uint64)
-    for i in range(len(languages)):
-        wanted_masks |= wanted[i].astype(np.uint64) << np.uint64(i)
+    counts = map_batches(sample, lambda: counted, "place int, slot int, n long").groupBy("place", "slot").agg(F.sum("n").alias("n"))
+    shares = written(counts.join(F.broadcast(known.select("place", "sampled", "least")), "place").withColumn("part", F.col("n") / F.col("sampled")), "language-shares")
+    largest = shares.groupBy("slot").agg(F.max("part").alias("largest"))
+    wanted = shares.join(largest, "slot").filter((F.col("part") >= SHARE * F.col("largest")) & (F.col("n") >= F.col("least")))
+    bits = F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("bits")
+    wanted_masks = _masks(wanted.groupBy(F.expr("cast(place div 64 as int)").alias("word"), "slot").agg(bits), words, size)
+    discard(shares)
 
     # A second pass over the sample inserts the wanted n-grams at their further slots.
     shared = labelled.sparkSession.sparkContext.broadcast(wanted_masks)
 
     def inserted(batch) -> dict:
-        masks = np.zeros((HASHES, size), np.uint64)
-        for text in batch.column("text").to_pylist():
-            h = np.unique(ngram_hashes(letters(text)))
-            bits = shared.value[slots(h, 0, slot_bits)]
-            h, bits = h[bits > 0], bits[bits > 0]
-            for k in range(HASHES):
-                np.bitwise_or.at(masks[k], slots(h, k, slot_bits), bits)
-        masks = np.bitwise_or.reduce(masks, axis=0)
-        at = np.flatnonzero(masks)
-        return {"slot": at.astype(np.int32), "bits": masks[at].view(np.int64)}
-
-    table = map_batches(sample, lambda: inserted, "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    masks = np.zeros(size, np.uint64)
-    masks[table["slot"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return Filter(languages, masks)
+        hashes = [np.unique(ngram_hashes(letters(text))) for text in batch.column("text").to_pylist()]
+        out = {"word": [], "slot": [], "bits": []}
+        for word in range(words):
+            masks = np.zeros(size, np.uint64)
+            for h in hashes:
+                bits = shared.value[word][slots(h, 0, slot_bits)]
+                h, bits = h[bits > 0], bits[bits > 0]
+                for k in range(HASHES):
+                    np.bitwise_or.at(masks, slots(h, k, slot_bits), bits)
+            at = np.flatnonzero(masks)
+            for name, values in (("word", np.full(len(at), word, np.int32)), ("slot", at.astype(np.int32)), ("bits", masks[at].view(np.int64))):
+                out[name].append(values)
+        return {name: np.concatenate(parts) for name, parts in out.items()}
+
+    table = map_batches(sample, lambda: inserted, "word int, slot int, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits"))
+    return Filter(languages, _masks(table, words, size))
+
+
+def _masks(table: DataFrame, words: int, size: int) -> np.ndarray:
+    """The filter of the rows (word, slot, bits)."""
+    table = table.select("word", "slot", "bits").toArrow()
+    masks = np.zeros((words, size), np.uint64)
+    masks[table["word"].to_numpy(), table["slot"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return masks
 
 
 def predicted(docs: DataFrame, model: Filter, *columns: str) -> DataFrame:
