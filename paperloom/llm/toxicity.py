@@ -34,6 +34,7 @@ REPORTING = frozenset("said says quoted quote quotes wrote writes called reporte
 ADDRESS = frozenset("you your youre du dich dir dein ihr tu toi vous votre te tú usted eres".split())
 QUOTES = "\"'“”„«»‘’`"
 WORDS = re.compile(r"[^\W_]+").findall
+PIECES = re.compile(r"[\W_]*[^\W_]+(?:[\W_]+$)?").findall  #: each word with the marks before it, the last with those behind
 
 
 class Matcher:
@@ -118,13 +119,19 @@ FEATURES = 8
 class Scorer:
     def __init__(self, terms: list[tuple[str, bool, float]], weights: np.ndarray | None):
         self.matcher, self.weights = Matcher(terms), weights
-        self.seen: dict[str, tuple[int, int] | None] = {}
-
-    def _look(self, token: str) -> tuple[int, int] | None:
-        found = None
-        word = token.lower().strip("\"'“”„«»‘’`.,;:!?()[]{}*&%$#|<>/\\-_+=~")
-        if 2 < len(word) < 40:
-            found = self.matcher.match(word)
+        self.seen: dict[str, tuple[list, list] | None] = {}
+
+    def _look(self, token: str) -> tuple[list[str], list[tuple[int, int] | None]] | None:
+        """The pieces of a token, one a word, and the hit of each; None for one word or none without a hit."""
+        lowered, found = token.lower(), None
+        hits = [self.matcher.match(w) if len(w) > 2 else None for w in WORDS(lowered)]
+        any_hit = any(h is not None for h in hits)
+        if len(hits) > 1:
+            # Words joined by marks; where none is a hit, a mark may stand for a letter.
+            whole = None if any_hit else self.matcher.match(lowered.strip("\"'“”„«»‘’`.,;:!?()[]{}*&%$#|<>/\\-_+=~"))
+            found = (PIECES(lowered), hits) if whole is None else ([token], [whole])
+        elif any_hit:
+            found = ([token], hits)
         if len(token) < 40:
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
@@ -136,9 +143,16 @@ class Scorer:
         x[0] = 1
         if not text or not self.matcher.terms:
             return x
-        words = text.split()
+        tokens = text.split()
         get, look = self.seen.get, self._look
-        hits = [(i, h) for i, w in enumerate(words) if (h := get(w, 0)) is not None and (h or (h := look(w)))]
+        found = [(i, f) for i, w in enumerate(tokens) if (f := get(w, 0)) is not None and (f or (f := look(w)))]
+        words, hits, at = [], [], 0
+        for i, (pieces, own) in found:
+            words += tokens[at:i]
+            hits += [(len(words) + k, h) for k, h in enumerate(own) if h is not None]
+            words += pieces
+            at = i + 1
+        words += tokens[at:]
         terms, kinds, quoted = self.matcher.terms, set(), 0.0
         for i, (term, edits) in hits:
             around = words[max(0, i - WINDOW) : i + WINDOW + 1]
