@@ -10,9 +10,10 @@ n-grams in hashed counters on the executors; the driver gets the filter alone, o
 A language's bit is inserted for n-grams that are not rare in it compared to the language where they are
 most frequent.
 
-Null texts, empty texts and texts without a letter are `und` with score 0; so is a text none of whose n-grams
-is known. Ties go to the language that comes first by name. Labels that are null or empty are not learned;
-without any label every text is `und`. Every other label is learned, however many there are. Further columns are ignored.
+Null texts, empty texts and texts without a letter are `und` with score 0. A text with letters none of whose n-grams
+is known gets the most frequent label, with score 0. Ties go to the language that comes first by name. Null labels are not
+learned; every other one is, the empty one too, however many there are. Without any label every text is `und`. Repeated rows
+count as rows; an empty table gives no rows. Texts of any length are read whole. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ TRAIN_ROWS = 6_000  #: labelled rows to fit on, about
 LEAST_ROWS = 50  #: rows of each language to fit on, about, where there are so many
 SLOT_BITS = 20
 HASHES = 2
+PART = 1 << 20  #: characters looked up at once
 ORDERS = (2, 4)  #: lengths of the n-grams in characters, word borders included
 SHARE = 0.2  #: least frequency of an n-gram in a language, as a part of its largest
 MIXES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -75,10 +77,11 @@ def slots(h: np.ndarray, k: int, bits: int = SLOT_BITS) -> np.ndarray:
 
 
 class Filter:
-    """masks: for each 64 languages, uint64 a slot with a bit a language; filled: share of slots with each bit."""
+    """masks: for each 64 languages, uint64 a slot with a bit a language; filled: share of slots with each bit;
+    usual: the label of texts that hold no known n-gram."""
 
-    def __init__(self, languages: list[str], masks: np.ndarray):
-        self.languages, self.masks = languages, masks
+    def __init__(self, languages: list[str], masks: np.ndarray, usual: str = "und"):
+        self.languages, self.masks, self.usual = languages, masks, usual
         self.filled = np.array([np.count_nonzero(masks[i >> 6] >> np.uint64(i & 63) & np.uint64(1)) / masks.shape[1] for i in range(len(languages))])
         self.false_rate = self.filled**HASHES
 
@@ -89,8 +92,8 @@ class Filter:
         if len(points) < 3:
             return "und", 0.0
         counts, total = np.zeros(len(self.languages)), 0
-        for at in range(0, len(points), 1 << 20):  # very long texts by parts that overlap by an n-gram
-            h = ngram_hashes(points[at : at + (1 << 20) + max(ORDERS) - 1])
+        for at in range(0, len(points), PART):  # very long texts by parts: n-grams that start in each
+            h = np.concatenate([ngram_hashes(points[at : at + PART + n - 1], (n,)) for n in ORDERS])
             at_slots = [slots(h, k) for k in range(HASHES)]
             for first in range(0, len(self.languages), 64):
                 masks, n = self.masks[first >> 6], min(64, len(self.languages) - first)
@@ -107,15 +110,16 @@ class Filter:
         corrected = np.maximum(0.0, (counts - total * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
         best = int(np.argmax(corrected))
         if corrected[best] <= 0:
-            return "und", 0.0
+            return self.usual, 0.0
         return self.languages[best], float(min(1.0, corrected[best] / total))
 
 
 def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, slot_bits: int = SLOT_BITS) -> Filter:
     """Fit on labelled (doc_id, text, lang)."""
-    labelled = labelled.filter("lang is not null and lang != '' and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))
+    labelled = labelled.filter("lang is not null and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))
     by_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(by_lang)
+    usual = max(languages, key=by_lang.get, default="und")
     if not languages:
         return Filter([], np.zeros((1, 1 << slot_bits), np.uint64))
     # As many rows of each language, by a hash of the id.
@@ -162,7 +166,7 @@ def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, slot_bits: int = S
         return {name: np.concatenate(parts) for name, parts in out.items()}
 
     table = map_batches(sample, lambda: inserted, "word int, slot int, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits"))
-    return Filter(languages, _masks(table, words, size))
+    return Filter(languages, _masks(table, words, size), usual)
 
 
 def _masks(table: DataFrame, words: int, size: int) -> np.ndarray:
@@ -175,7 +179,7 @@ def _masks(table: DataFrame, words: int, size: int) -> np.ndarray:
 
 def predicted(docs: DataFrame, model: Filter, *columns: str) -> DataFrame:
     """(columns..., lang_pred, score) of every row of docs, which has text and columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.usual))
 
     def make():
         own = Filter(*shared.value)
