@@ -1,15 +1,18 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows.
 
 Terms and word beginnings that are far more frequent in documents labelled toxic form a trie. Its
-intersection with the Levenshtein automaton of every term (one edit for terms of 5 letters or more) is
-determinised as words are read, so that a word costs one look-up a letter. A window of words around each hit
+intersection with the Levenshtein automaton of every term (one edit for terms of 5 letters or more, two for 9 or
+more) is determinised as words are read, so that a word costs one look-up a letter. A word without a term is read
+again with digits and signs as the letters they stand for and with letters that are drawn out once. Words of all lengths
+are learned and matched. A window of words around each hit
 tells quotation (quotation marks, words of reporting or denial) from abuse (words of address). A logistic
 model over a text's hits gives the score.
 
-The lexicon and the model are fitted on a bounded sample of the labelled rows (train_rows, chosen by a hash
+A term is in the lexicon if its likelihood ratio against chance beats what the number of terms looked at makes likely; how
+many these are is not bounded. The lexicon and the model are fitted on a bounded sample of the labelled rows (train_rows, chosen by a hash
 of the id); texts are scored whole. Null and empty texts, and all texts when no row is labelled, get the score
 of a text without hits. A label other than 0 and 1 and a null one are not learned; of repeated labels of a
-document the largest counts. An empty table gives no rows. Further columns are ignored.
+document the largest counts. Repeated rows give a row each. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ from paperloom.llm.common import documents, fold, map_batches
 from paperloom.scratch import discard, written
 
 TRAIN_ROWS = 24_000  #: labelled rows to fit on, about
-LEXICON = 400  #: terms at most
-STEM, LEAST_EDIT = 5, 5  #: letters of a word's beginning; least letters of a term that may be misspelled
+LEAST_ODDS = 2.0  #: log-odds of a term
+STEM = 5  #: letters of a word's beginning
+#: Letters that digits and signs stand for.
+STANDS_FOR = str.maketrans("0134578@$", "oieastbas")
+DRAWN_OUT = re.compile(r"(.)\1{2,}")
 WINDOW = 6
 CACHE_WORDS = 400_000
 REPORTING = frozenset("said says quoted quote quotes wrote writes called reported cited term word never not sagte schrieb zitat nicht dit cité écrit pas dijo escribió citado".split())
@@ -37,6 +43,11 @@ WORDS = re.compile(r"[^\W_]+").findall
 PIECES = re.compile(r"[\W_]*[^\W_]+(?:[\W_]+$)?").findall  #: each word with the marks before it, the last with those behind
 
 
+def edits_allowed(letters: int) -> int:
+    """How many edits a term of so many letters may be away."""
+    return 0 if letters < 5 else 1 if letters < 9 else 2
+
+
 class Matcher:
     """Terms in words: match(word) is (term, edits) of the best term or None."""
 
@@ -45,14 +56,18 @@ class Matcher:
         self.terms = terms
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.deep: list[int] = [0]  # edits that any term through a node allows
         for i, (text, stem, _) in enumerate(terms):
-            at = 0
+            at, own = 0, 0 if stem else edits_allowed(len(text))
+            self.deep[0] = max(self.deep[0], own)
             for c in text:
                 if c not in self.child[at]:
                     self.child[at][c] = len(self.child)
                     self.child.append({})
                     self.ends.append(-1)
+                    self.deep.append(0)
                 at = self.child[at][c]
+                self.deep[at] = max(self.deep[at], own)
             if self.ends[at] < 0 or terms[self.ends[at]][1] and not stem:
                 self.ends[at] = i
         self.stems = {t: i for i, (t, stem, _) in enumerate(terms) if stem}
@@ -65,11 +80,16 @@ class Matcher:
         self.start = self._state({(0, 0)})
 
     def _state(self, members: set[tuple[int, int]]) -> int:
-        """Number of a set of (trie node, edits so far); a letter of the term may be missing next."""
-        for node, edits in list(members):
-            if edits == 0:
-                members |= {(n, 1) for n in self.child[node].values()}
-        members = frozenset(m for m in members if not (m[1] and (m[0], 0) in members))
+        """Number of a set of (trie node, edits so far); letters of the term may be missing next."""
+        todo = list(members)
+        while todo:
+            node, edits = todo.pop()
+            for n in self.child[node].values():
+                if edits < self.deep[n] and (n, edits + 1) not in members:
+                    members.add((n, edits + 1))
+                    todo.append((n, edits + 1))
+        # A node with fewer edits makes the same with more needless.
+        members = frozenset(m for m in members if not any((m[0], e) in members for e in range(m[1])))
         if not members:
             return -1
         if members not in self.states:
@@ -84,13 +104,23 @@ class Matcher:
             n = self.child[node].get(c)
             if n is not None:
                 after.add((n, edits))
-            if edits == 0:
-                after.add((node, 1))
-                after |= {(n, 1) for n in self.child[node].values()}
+            if edits < self.deep[node]:
+                after.add((node, edits + 1))
+            after |= {(m, edits + 1) for m in self.child[node].values() if m != n and edits < self.deep[m]}
         self.moves[state][c] = out = self._state(after)
         return out
 
     def match(self, word: str) -> tuple[int, int] | None:
+        found = self._match(word)
+        if found is None:
+            # As it may be meant: signs for letters, letters drawn out to one or two.
+            plain = word.translate(STANDS_FOR) if not word.isalpha() and not word.isdecimal() else word
+            for other in dict.fromkeys((plain, DRAWN_OUT.sub(r"\1", plain), DRAWN_OUT.sub(r"\1\1", plain))):
+                if other != word and (found := self._match(other)) is not None:
+                    return found[0], max(1, found[1])
+        return found
+
+    def _match(self, word: str) -> tuple[int, int] | None:
         best = None
         if len(self.members) > 100_000:
             self._reset()
@@ -102,7 +132,7 @@ class Matcher:
         else:
             for node, edits in self.members[state]:
                 i = self.ends[node]
-                if i >= 0 and not (edits and (self.terms[i][1] or len(self.terms[i][0]) < LEAST_EDIT)) and (not self.terms[i][1] or len(word) == len(self.terms[i][0])):
+                if i >= 0 and edits <= (0 if self.terms[i][1] else edits_allowed(len(self.terms[i][0]))) and (not self.terms[i][1] or len(word) == len(self.terms[i][0])):
                     found = (edits, -self.terms[i][2], i)
                     best = min(best, found) if best else found
         if best and best[0] == 0:
@@ -124,7 +154,7 @@ class Scorer:
     def _look(self, token: str) -> tuple[list[str], list[tuple[int, int] | None]] | None:
         """The pieces of a token, one a word, and the hit of each; None for one word or none without a hit."""
         lowered, found = token.lower(), None
-        hits = [self.matcher.match(w) if len(w) > 2 else None for w in WORDS(lowered)]
+        hits = [self.matcher.match(w) for w in WORDS(lowered)]
         any_hit = any(h is not None for h in hits)
         if len(hits) > 1:
             # Words joined by marks; where none is a hit, a mark may stand for a letter.
@@ -194,7 +224,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
     def work(batch):
         counts: dict[tuple[str, bool], list[int]] = {}
         for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
-            words = {w for w in WORDS(text.lower()) if 2 < len(w) < 40}
+            words = set(WORDS(text.lower()))
             at = 2 * half + toxic
             for key in [*((w, False) for w in words), *((s, True) for s in {w[:STEM] for w in words if len(w) > STEM})]:
                 if key not in counts:
@@ -206,15 +236,16 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")])
 
 
-def lexicon(counts: DataFrame, positive: int, negative: int, p: Column, q: Column, size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """Words and beginnings of words with the largest log-odds of toxic documents (p of positive) over the others."""
+def lexicon(counts: DataFrame, terms: int, positive: int, negative: int, p: Column, q: Column) -> list[tuple[str, bool, float]]:
+    """Words and beginnings of words whose documents are toxic (p of positive, q of negative) more often than chance makes
+    likely for the best of so many terms."""
     if not positive or not negative:
         return []
+    share, n = positive / (positive + negative), p + q
     odds = F.log((p + 0.5) / (positive + 1)) - F.log((q + 0.5) / (negative + 1))
-    least = max(2, positive // 500)
-    # Evidence: log-odds by the root of the documents that hold the term.
-    top = counts.filter(p >= least).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt(p)), "term", "stem").limit(size)
-    return [(r["term"], r["stem"], float(r["odds"])) for r in top.collect()]
+    ratio = 2 * (p * F.log(p / (n * share)) + F.when(q > 0, q * F.log(q / (n * (1 - share)))).otherwise(0.0))
+    wanted = counts.filter(p > 0).withColumn("odds", odds).filter((F.col("odds") > LEAST_ODDS) & (ratio >= 2 * math.log(max(1, terms))))
+    return [(r["term"], r["stem"], float(r["odds"])) for r in wanted.select("term", "stem", "odds").orderBy("term", "stem").collect()]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -242,15 +273,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     n0, p0, n1, p1 = (n.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1)))
     counts = written(term_counts(sample), "toxic-terms")
     # The lexicon that weighs a row is learned from the other half, so that weights are not too sure of it.
-    by_0 = lexicon(counts, p0, n0, F.col("p0"), F.col("n0"))
-    by_1 = lexicon(counts, p1, n1, F.col("p1"), F.col("n1"))
+    terms = counts.count()
+    by_0 = lexicon(counts, terms, p0, n0, F.col("p0"), F.col("n0"))
+    by_1 = lexicon(counts, terms, p1, n1, F.col("p1"), F.col("n1"))
     table = _featured(sample.filter("half = 1"), by_0).union(_featured(sample.filter("half = 0"), by_1)).toArrow()
-    whole = lexicon(counts, p0 + p1, n0 + n1, F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1"))
+    whole = lexicon(counts, terms, p0 + p1, n0 + n1, F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1"))
     discard(sample, counts)
     if table.num_rows == 0 or len(set(table["y"].to_pylist())) < 2:
         return [], None
-    x = np.array(table["x"].to_pylist())
-    return whole, logistic(x, table["y"].to_numpy().astype(float), table["n"].to_numpy().astype(float))
+    # In one order, so that sums and weights are the same in every run.
+    rows = sorted(zip(table["x"].to_pylist(), table["y"].to_pylist(), table["n"].to_pylist(), strict=True))
+    x, y, n = (np.array([r[i] for r in rows], float) for i in range(3))
+    return whole, logistic(x, y, n)
 
 
 def _featured(sample: DataFrame, terms: list) -> DataFrame:
