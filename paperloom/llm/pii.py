@@ -4,20 +4,23 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers; these
 patterns propose further candidates (spelt-out addresses, numbers without a plus sign or with other
 separators). Labelers vote yes, no or nothing on every candidate: regular expressions on its form, gazetteers
 (public suffixes, calling codes, card issuers) and words of context around it. Expectation-maximisation over the
-counts of vote patterns estimates each labeler's reliability and each pattern's probability; a logistic span
-classifier is trained on these soft labels, and accepts candidates that overlap no base span.
+counts of vote patterns estimates each labeler's reliability and each pattern's probability. On these soft labels a
+logistic classifier of spans is trained: its features are the votes, the shape of the span, pieces of that shape, and
+the words around it, hashed. It accepts candidates that overlap no base span.
 
 All candidates of all documents count in the estimates; what reaches the driver is one row a pattern of votes,
-of which there are at most 3 ** labelers a kind.
+of which there are at most 3 ** labelers a kind, and the features of about train_spans candidates a kind, chosen by a
+hash of their document and place, on which the classifier is fitted.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Every row gives a row, repeated
-ids too; an empty table gives none. Further columns are ignored.
+ids too, and texts of any length are read whole; an empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +31,8 @@ from paperloom.scratch import discard, written
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9  #: least probability of a candidate that is added
+TRAIN_SPANS = 8_000  #: candidates of a kind to fit the classifier on, about
+SLOTS = 512  #: hashed features of spans and contexts
 
 # Base patterns. An e-mail match starts where the run of local characters before an @ does.
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -76,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Wider patterns for candidates.
 CANDIDATES = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?(?:dot|DOT)\s?[\])}])\s?[A-Za-z0-9-]{1,63}){1,5}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?[A-Za-z0-9-]++(?:\s?(?:\.|[\[({]\s?(?:dot|DOT)\s?[\])}])\s?[A-Za-z0-9-]++)+")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|00[0-9]{2}[ .-]|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,4}[0-9]{2,4}(?![0-9A-Za-z])")),
@@ -118,21 +123,49 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
     return [form, check, (1 if any(code.startswith(c) for c in CALLING_CODES) else -1) if code else 0, context, against]
 
 
-def extra_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, list[int]]]:
-    """Candidates that overlap no base span, nor an earlier candidate."""
+def shape(span: str) -> str:
+    """Digits as 9, letters as a, other characters as they are."""
+    return "".join("9" if c.isdecimal() else "a" if c.isalpha() else c for c in span)
+
+
+def hashed_features(text: str, start: int, end: int) -> list[int]:
+    """Slots of the span's shape, its pieces of three, its length, and the words before and behind it."""
+    form = shape(text[start:end])
+    names = {f"s{form}", f"n{min(40, end - start)}", *("p" + form[i : i + 3] for i in range(len(form) - 2))}
+    names |= {"b" + w.lower() for w in WORDS.findall(text[max(0, start - AROUND) : start])}
+    names |= {"e" + w.lower() for w in WORDS.findall(text[end : end + AROUND // 2])}
+    return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in names})
+
+
+def merged(intervals: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of intervals, in order."""
+    starts, ends = [], []
+    for s, e in sorted(intervals):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def extra_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Candidates that overlap no base span, nor one of an earlier kind."""
     taken, out = [(s, e) for s, e, _ in base], []
     for kind, pattern in CANDIDATES:
         if kind == "email" and not (("at" in text or "AT" in text) and any(b in text for b in "[({")):
             continue
+        starts, ends = merged(taken)
         for m in pattern.finditer(text):
             start, end = m.span()
-            if not any(s < end and start < e for s, e in taken):
+            at = bisect.bisect_left(starts, end)
+            if at == 0 or ends[at - 1] <= start:
                 taken.append((start, end))
-                out.append((start, end, kind, votes(text, start, end, kind)))
+                out.append((start, end, kind))
     return sorted(out)
 
 
-FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string>>, extra array<struct<start:int,end:int,kind:string,votes:array<int>>>"
+FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string>>, extra array<struct<start:int,end:int,kind:string,votes:array<int>,slots:array<int>>>"
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -143,7 +176,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
         for text in batch.column("text").to_pylist():
             own = base_spans(text or "")
             base.append([{"start": s, "end": e, "kind": k} for s, e, k in own])
-            extra.append([{"start": s, "end": e, "kind": k, "votes": v} for s, e, k, v in extra_candidates(text or "", own)])
+            extra.append([{"start": s, "end": e, "kind": k, "votes": votes(text, s, e, k), "slots": hashed_features(text, s, e)} for s, e, k in extra_candidates(text or "", own)])
         return {"doc_id": batch.column("doc_id"), "base": base, "extra": extra}
 
     return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), lambda: work, FOUND)
@@ -176,51 +209,81 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
     return p, share
 
 
-def train(found: DataFrame) -> dict[str, list[float]]:
-    """Weights of the span classifier of each kind, from the soft labels of all candidates."""
-    table = found.select(F.explode("extra").alias("c")).groupBy("c.kind", "c.votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    weights = {}
+def dense(votes: np.ndarray, slots: list) -> np.ndarray:
+    """Rows of features: one, votes for yes, votes for no, hashed features."""
+    hashed = np.zeros((len(votes), SLOTS))
+    for row, own in zip(hashed, slots, strict=True):
+        row[own] = 1.0
+    return np.concatenate([np.ones((len(votes), 1)), votes == 1, votes == -1, hashed], axis=1)
+
+
+def soft_logistic(x: np.ndarray, p: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Weights of the logistic model of probabilities p, with a ridge penalty, by Newton's method."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge), x.T @ (p - q) - ridge * beta)
+        beta += np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-6:
+            break
+    return beta
+
+
+def train(found: DataFrame, *, train_spans: int = TRAIN_SPANS) -> dict[str, np.ndarray]:
+    """Weights of the span classifier of each kind, from soft labels that all candidates estimate."""
+    each = found.select("doc_id", F.explode("extra").alias("c")).select("doc_id", "c.*")
+    table = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    soft, share = {}, F.lit(0.0)
     for kind in KINDS:
-        own = sorted((list(r["votes"]), r["n"]) for r in table if r["kind"] == kind)
-        if not own:
-            continue
-        patterns, counts = np.array([v for v, _ in own]), np.array([n for _, n in own], float)
-        p, _ = reliabilities(patterns, counts)
-        x = features(patterns)
-        beta = np.zeros(x.shape[1])
-        for _ in range(100):
-            q = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-            w = counts * q * (1 - q)
-            step = np.linalg.solve((x * w[:, None]).T @ x + 0.1 * np.eye(x.shape[1]), x.T @ (counts * (p - q)) - 0.1 * beta)
-            beta += np.clip(step, -4, 4)
-            if np.abs(step).max() < 1e-8:
-                break
-        weights[kind] = beta.tolist()
+        own = sorted((tuple(r["votes"]), r["n"]) for r in table if r["kind"] == kind)
+        if own:
+            patterns, counts = np.array([v for v, _ in own]), np.array([n for _, n in own], float)
+            soft[kind] = dict(zip((v for v, _ in own), reliabilities(patterns, counts)[0].tolist(), strict=True))
+            share = F.when(F.col("kind") == kind, min(1.0, train_spans / counts.sum())).otherwise(share)
+    if not soft:
+        return {}
+    chosen = each.filter(F.pmod(F.xxhash64("doc_id", "start", "kind"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = sorted(map(tuple, chosen.select("kind", "votes", "slots").collect()))
+    ridge = np.concatenate((np.full(1 + 2 * len(LABELERS), 0.1), np.full(SLOTS, 2.0)))
+    weights = {}
+    for kind, by_votes in soft.items():
+        own = [(v, s) for k, v, s in rows if k == kind]
+        # A kind of which the sample has none is decided by the votes alone.
+        own = own or [(list(v), []) for v in by_votes]
+        weights[kind] = soft_logistic(dense(np.array([v for v, _ in own]), [s for _, s in own]), np.array([by_votes[tuple(v)] for v, _ in own]), ridge)
     return weights
 
 
-def features(patterns: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(patterns), 1)), patterns == 1, patterns == -1], axis=1).astype(float)
+def probability(weights: dict[str, np.ndarray], kind: str, votes: list[int], slots: list[int]) -> float:
+    w = weights.get(kind)
+    if w is None:
+        return 0.0
+    m = len(LABELERS)
+    total = w[0] + sum(w[1 + j] if v == 1 else w[1 + m + j] if v == -1 else 0.0 for j, v in enumerate(votes)) + w[[1 + 2 * m + s for s in slots]].sum()
+    return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
+
 
+def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
-def _probability(c: Column, weights: dict[str, list[float]]) -> Column:
-    m, out = len(LABELERS), F.lit(0.0)
-    for kind, w in weights.items():
-        total = F.lit(w[0])
-        for j in range(m):
-            v = F.get(c["votes"], F.lit(j))
-            total = total + F.when(v == 1, F.lit(w[1 + j])).when(v == -1, F.lit(w[1 + m + j])).otherwise(0.0)
-        out = F.when(c["kind"] == kind, 1 / (1 + F.exp(-total))).otherwise(out)
-    return out
+
+SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def spans(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, spans) of every row of docs (doc_id, text); spans hold base ones and those added."""
     found = written(found_spans(docs), "pii-found")
     weights = train(found)
-    added = F.transform(F.filter("extra", lambda c: _probability(c, weights) >= threshold), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-    ranked = F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return found.select("doc_id", "base", F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
+
+    def work(batch):
+        out = []
+        for base, extra in zip(batch.column("base").to_pylist(), batch.column("extra").to_pylist(), strict=True):
+            own = [(x["start"], x["end"], x["kind"]) for x in base]
+            own += [(x["start"], x["end"], x["kind"]) for x in extra if probability(weights, x["kind"], x["votes"], x["slots"]) >= threshold]
+            out.append([{"start": s, "end": e, "kind": k} for s, e, k in in_order(own)])
+        return {"doc_id": batch.column("doc_id"), "base": batch.column("base"), "spans": out}
+
+    return map_batches(found, lambda: work, f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def _is(kind: str):
@@ -242,22 +305,15 @@ def masked_text(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     found = written(found_spans(docs), "pii-found")
     weights = train(found)
     discard(found)
-    m = len(LABELERS)
-
-    def accepted(kind: str, v: list[int]) -> bool:
-        w = weights[kind]
-        total = w[0] + sum(w[1 + j] if x == 1 else w[1 + m + j] if x == -1 else 0.0 for j, x in enumerate(v))
-        return 1 / (1 + np.exp(-total)) >= threshold
-
     def masked(text: str | None) -> str | None:
         if not text:
             return text
         base = base_spans(text)
-        own = sorted([(s, e, k) for s, e, k in base] + [(s, e, k) for s, e, k, v in extra_candidates(text, base) if k in weights and accepted(k, v)])
+        own = base + [(s, e, k) for s, e, k in extra_candidates(text, base) if probability(weights, k, votes(text, s, e, k), hashed_features(text, s, e)) >= threshold]
         if not own:
             return text
         out, at = [], 0
-        for start, end, kind in own:
+        for start, end, kind in in_order(own):
             if start >= at:
                 out += [text[at:start], f"<{kind}>"]
             at = max(at, end)
