@@ -8,7 +8,9 @@ grade or better, by which documents are selected.
 The model is fitted on about train_rows rated rows, chosen by a hash of the id, with their sparse features on the driver;
 texts are scored whole. Grades are whole numbers from 0; null grades and null texts are not learned, of repeated ratings of
 a document the largest counts. Null and empty texts get the score of a text without words; if fewer than two grades are
-rated every document gets expected grade 0 and probability 0. An empty table gives no rows; further columns are ignored.
+rated every document gets expected grade 0 and probability 0. Repeated rows give a row each and very long texts are read
+whole; an empty table gives no rows; further columns are ignored. Of labels, quality null is no rating, and toxic null counts as
+not toxic.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def shape(word: str) -> str:
     """Case, digits and the marks of a word, runs as one."""
     case = "U" if word.isupper() else "l" if word.islower() else "T" if word[:1].isupper() else "m"
     digits = "9" if any("0" <= c <= "9" for c in word) else ""
-    return f"{case}{digits}{''.join(MARKS.findall(word))[:6]}{'+' if len(word) > 14 else ''}"
+    return f"{case}{digits}{''.join(MARKS.findall(word))}{'+' if len(word) > 14 else ''}"
 
 
 def word_slots(word: str) -> tuple[int, int]:
