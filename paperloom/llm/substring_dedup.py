@@ -1,21 +1,23 @@
 """Removal of word sequences that repeat across documents, by level-wise doubling.
 
-Level one are short windows (`SEED_WORDS` words). Of the short windows in each window of `length` words the
-one with the least hash stands for it, so equal windows have equal seeds at equal places, and only such seeds are
-compared. Seeds that occur in one document alone end there. A repeated seed is extended to about twice the
-window: the stretch of all windows that it stands for. A stretch that also occurs in an earlier document is covered
-whole. Where a stretch has no earlier equal but its seed does (the ends of repeated passages), its windows
-are compared one by one. Nothing else is hashed, sorted or sent.
-
-What a document repeats within itself is sent once and marked; the last step covers its other places too. Seeds
-and stretches are compared in one shuffle by the seed; windows by 128 bits, with minima combined before they are dealt
-and joined back, so that a window which very many documents hold is split. Windows are judged on the input, not on
-what is left.
+Of the windows of `length` words only those go on from level to level whose part at the level before also stands in
+another document. Level one is a part of `SEED_WORDS` words: of those in a window the one with the least hash, so that
+equal windows have equal parts at equal places, and neighbouring windows share theirs (their anchor). Each further level
+doubles the part, while twice its length fits: the anchor and the words behind it, or, where the window ends before,
+the anchor and the words before it. The last level is the window itself. It ends where no window is left.
+
+All levels of an anchor are compared in one deal by the hash of its seed. Seeds that very many documents hold (at
+least HOT_SHARE of a sample of documents; a list of at most HOT_SEEDS) are known to repeat; they are dealt apart in
+SALTS parts, pass the levels, and the minima of their windows are combined before they are dealt again. Which seeds
+these are changes no result. Windows are judged on the input, not on what is left. What a document repeats within itself
+is sent once and marked; the last step covers its other places too.
+
+A window is known by 64 bits of its seed, 32 of each doubled part and 32 of itself.
 
 A null text has no words. Documents shorter than a window keep all words. Rows with a null id keep all words and
-are nobody's earlier document. Rows that repeat an id and its text get equal results; rows that repeat an id with
-other texts share their removals, so ids should be unique. An empty table gives no rows. Further columns are
-ignored.
+are nobody's earlier document. Every row stands for itself: of rows that repeat an id, those with equal texts get equal
+results, and those with other texts are neither compared with each other (no id is smaller) nor share removals. Texts
+of any length are read whole. An empty table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import documents, map_batches
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 LENGTH, SEED_WORDS = 13, 4
+SAMPLE_DOCUMENTS = 20_000  #: documents, about, in which very common seeds are looked for
+HOT_SHARE, LEAST_HOT, HOT_SEEDS, SALTS = 0.002, 20, 10_000, 64
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-SPAN = 1024  #: a place is start * SPAN + words; negative if the document has the same words elsewhere too
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,110 +78,157 @@ class Ranges:
             return x ^ (x >> np.uint64(29))
 
 
-def seeds(h: np.ndarray, length: int = LENGTH, seed_words: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hash, stretch hash, first word and number of words of each seed's stretch."""
-    n = len(h) - length + 1
-    if n <= 0:
-        none = np.empty(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
-    ranges = Ranges(h)
-    at = np.arange(len(h) - seed_words + 1)
-    grams = ranges.get(at, at + seed_words)
-    place = sliding_window_view(grams, length - seed_words + 1).argmin(axis=1) + np.arange(n)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-    last = np.concatenate((first[1:] - 1, [n - 1]))
-    # The stretch's own number of words and the seed's place in it count too.
-    with np.errstate(over="ignore"):
-        stretch = ranges.get(first, last + length) * np.uint64(31) + (last - first).astype(np.uint64) * np.uint64(64) + (place[first] - first).astype(np.uint64)
-    return grams[place[first]], stretch, first, last - first + length
-
-
-def firsts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the first of each equal pair (a, b), and whether there are more."""
-    order = np.lexsort((np.arange(len(a)), b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    starts = np.flatnonzero(new)
-    return order[starts], np.diff(np.append(starts, len(a))) > 1
-
-
-def occurrences(docs: DataFrame, length: int, seed_words: int) -> DataFrame:
-    """(doc_id, place, done) of stretches that are covered whole (done) or whose windows are to be compared."""
+def levels(length: int, seed_words: int) -> list[int]:
+    """Lengths of the doubled parts: a part of such a length holds the anchor and lies in the window on one side of it."""
+    out, n = [], 2 * seed_words
+    while 2 * n <= length + seed_words + 1 and n < length:
+        out.append(n)
+        n *= 2
+    return out
+
+
+class Anchors:
+    """Anchors of a document's windows, in order, each for a run of neighbouring windows.
+
+    seed; first window and number of windows; offset of the anchor in the first window; windows (32 bits each, one after
+    the other); right and left, for each level, with the anchor's doubled part or -1 where no window needs it."""
+
+    def __init__(self, h: np.ndarray, length: int, seed_words: int):
+        n = len(h) - length + 1
+        ranges = Ranges(h)
+        at = np.arange(len(h) - seed_words + 1)
+        grams = ranges.get(at, at + seed_words)
+        place = sliding_window_view(grams, length - seed_words + 1).argmin(axis=1) + np.arange(n)
+        self.first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+        self.count = np.diff(np.append(self.first, n))
+        anchor = place[self.first]
+        self.offset = anchor - self.first
+        self.seed = grams[anchor]
+        start = np.arange(n)
+        self.windows = (Ranges(h, 1).get(start, start + length) >> np.uint64(32)).astype(np.uint32)
+        self.parts = []
+        for size in levels(length, seed_words):
+            last = self.offset - self.count + 1
+            for wanted, a in ((last + size <= length, anchor), (self.offset + size > length, anchor + seed_words - size)):
+                part = np.full(len(anchor), -1, np.int64)
+                part[wanted] = (ranges.get(a[wanted], a[wanted] + size) >> np.uint64(33)).astype(np.int64)
+                self.parts.append(part)
+        self.whole = ranges.get(self.first, self.first + self.count + length - 1)
+
+    def once(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors that are the first of their like in the document, and whether there are more."""
+        with np.errstate(over="ignore"):
+            own = (self.whole * np.uint64(31) + self.count.astype(np.uint64)) * np.uint64(1021) + self.offset.astype(np.uint64)
+        _, at, n = np.unique(own, return_index=True, return_counts=True)
+        return at, n > 1
+
 
-    def work(batch):
-        out = {k: [] for k in ("seed", "stretch", "doc_id", "place")}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            seed, stretch, start, count = seeds(word_hashes(words(text)), length, seed_words)
-            if len(seed):
-                at, more = firsts(seed, stretch)
-                out["seed"].append(seed[at].view(np.int64))
-                out["stretch"].append(stretch[at].view(np.int64))
-                out["doc_id"].append(np.full(len(at), doc_id, np.int64))
-                out["place"].append(np.where(more, -1, 1) * (start[at] * SPAN + count[at]))
-        return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}
-
-    rows = map_batches(docs, lambda: work, "seed long, stretch long, doc_id long, place long").repartition("seed")
-    by_seed, by_stretch = Window.partitionBy("seed"), Window.partitionBy("seed", "stretch")
-    rows = rows.withColumn("done", F.min("doc_id").over(by_stretch) < F.col("doc_id")).withColumn("seed_first", F.min("doc_id").over(by_seed))
-    rows = rows.withColumn("open", F.max(~F.col("done") & (F.col("seed_first") < F.col("doc_id"))).over(by_seed))
-    # Other documents' windows are compared with those that are open, so a seed is open in all of them.
-    return rows.filter("done or open").select("doc_id", "place", "done", "open")
-
-
-def covered_windows(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(doc_id, place) of single windows that start in an earlier document too."""
-    places = found.filter("open").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+def hot_seeds(texts: DataFrame, length: int, seed_words: int) -> np.ndarray:
+    """Seeds that at least HOT_SHARE of a sample of documents hold, the HOT_SEEDS most frequent of them at most."""
+    n = texts.count()
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_DOCUMENTS))) == 0)
 
     def work(batch):
-        out = {k: [] for k in ("a", "b", "doc_id", "place")}
-        for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+        found = [np.empty(0, np.int64)]
+        for text in batch.column("text").to_pylist():
             h = word_hashes(words(text))
-            start, marked = windows_of(places, length, len(h))
-            one, two = Ranges(h).get(start, start + length), Ranges(h, 1).get(start, start + length)
-            at, more = firsts(one, two)
-            more |= marked[at]
-            out["a"].append(one[at].view(np.int64))
-            out["b"].append(two[at].view(np.int64))
-            out["doc_id"].append(np.full(len(at), doc_id, np.int64))
-            out["place"].append(np.where(more, -1, 1) * (start[at] * SPAN + length))
-        return {k: np.concatenate(v) for k, v in out.items()}
+            if len(h) >= length:
+                found.append(np.unique(Anchors(h, length, seed_words).seed).view(np.int64))
+        return {"seed": np.concatenate(found)}
 
-    rows = written(map_batches(texts.join(places, "doc_id"), lambda: work, "a long, b long, doc_id long, place long"), "substring-windows")
-    # A window that very many documents hold: minima are combined before they are dealt, and the join with them is split.
-    first = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first.select("a", "b", "first_id"), "substring-firsts")
-    return rows.join(first, ["a", "b"]).filter("first_id < doc_id").select("doc_id", "place")
+    counts = map_batches(sample.select("text"), lambda: work, "seed long").groupBy("seed").count()
+    least = max(LEAST_HOT, int(HOT_SHARE * min(n, SAMPLE_DOCUMENTS)))
+    top = counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "seed").limit(HOT_SEEDS).select("seed").collect()
+    return np.sort(np.array([r["seed"] for r in top], np.int64))
 
 
-def windows_of(places: list[int], length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of all windows in places, and whether their places are marked; only those within n words."""
-    start, marked = [], []
-    for p in places:
-        own = np.arange(abs(p) // SPAN, abs(p) // SPAN + abs(p) % SPAN - length + 1)
-        start.append(own)
-        marked.append(np.full(len(own), p < 0))
-    start, marked = np.concatenate(start), np.concatenate(marked)
-    inside = start + length <= n
-    return start[inside], marked[inside]
+def anchor_rows(texts: DataFrame, hot: np.ndarray, length: int, seed_words: int) -> DataFrame:
+    """One row an anchor of every row of texts (doc_id, part, text); place is negative (less one) if there are more."""
+    names = [f"{side}{size}" for size in levels(length, seed_words) for side in "rl"]
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def work(batch):
+        out = {k: [np.empty(0, np.int64)] for k in ("seed", "salt", "doc_id", "part", "place", "anchor", "n", *names)}
+        windows = [np.empty(0, np.uint32)]
+        for doc_id, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text")), strict=True):
+            h = word_hashes(words(text))
+            if len(h) < length:
+                continue
+            own = Anchors(h, length, seed_words)
+            at, more = own.once()
+            seed = own.seed[at].view(np.int64)
+            out["seed"].append(seed)
+            out["salt"].append(np.full(len(at), 1 + (doc_id ^ part) % SALTS))
+            out["doc_id"].append(np.full(len(at), doc_id, np.int64))
+            out["part"].append(np.full(len(at), part, np.int64))
+            out["place"].append(np.where(more, -1 - own.first[at], own.first[at]))
+            out["anchor"].append(own.offset[at])
+            out["n"].append(own.count[at])
+            for name, values in zip(names, own.parts, strict=True):
+                out[name].append(values[at])
+            # Windows of the chosen anchors, anchor by anchor.
+            ends = np.cumsum(own.count[at])
+            windows.append(own.windows[np.repeat(own.first[at] - (ends - own.count[at]), own.count[at]) + np.arange(ends[-1] if len(ends) else 0)])
+        out = {k: np.concatenate(v) for k, v in out.items()}
+        out["salt"] *= np.isin(out["seed"], shared.value)
+        offsets = np.concatenate(([0], np.cumsum(4 * out.pop("n")))).astype(np.int32)
+        out["windows"] = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(windows))])
+        return out
+
+    schema = "seed long, salt int, doc_id long, part long, place long, anchor int, windows binary"
+    return map_batches(texts.select("doc_id", "part", "text"), lambda: work, ", ".join([schema, *(f"{x} int" for x in names)]))
+
+
+def repeated(*key: str) -> Column:
+    """Whether the rows of a key are of several documents."""
+    own = Window.partitionBy(*key)
+    return F.min("doc_id").over(own) < F.max("doc_id").over(own)
+
+
+def covered_windows(texts: DataFrame, length: int, seed_words: int) -> DataFrame:
+    """(doc_id, part, place) of windows that start in an earlier document too."""
+    sizes, hot = levels(length, seed_words), hot_seeds(texts, length, seed_words)
+    deal, known = ["seed", "salt"], F.col("salt") > 0
+    rows = anchor_rows(texts, hot, length, seed_words).repartition(*deal)
+    rows = rows.withColumn("goes_on", known | repeated(*deal)).filter("goes_on")
+    for size in sizes:
+        for side in "rl":
+            rows = rows.withColumn(f"{side}{size}_goes_on", (F.col(f"{side}{size}") >= 0) & (known | repeated(*deal, f"{side}{size}")))
+        rows = rows.filter(F.col(f"r{size}_goes_on") | F.col(f"l{size}_goes_on"))
+    # Each window with the parts that it holds.
+    each = rows.withColumn("i", F.explode(F.expr("sequence(0, cast(length(windows) / 4 as int) - 1)")))
+    behind = lambda size: F.col("anchor") - F.col("i") + size <= length
+    for size in sizes:
+        each = each.filter(F.when(behind(size), F.col(f"r{size}_goes_on")).otherwise(F.col(f"l{size}_goes_on")))
+    parts = [F.when(behind(size), F.col(f"r{size}")).otherwise(F.col(f"l{size}")).alias(f"p{size}") for size in sizes]
+    place = F.when(F.col("place") < 0, F.col("place") - F.col("i")).otherwise(F.col("place") + F.col("i"))
+    each = each.select(*deal, *parts, F.expr("substring(windows, 4 * i + 1, 4)").alias("own"), "doc_id", "part", place.alias("place"))
+    key = ["seed", *(f"p{size}" for size in sizes), "own"]
+    each = each.withColumn("first_id", F.min("doc_id").over(Window.partitionBy(*deal, *key[1:]))).filter(known | (F.col("first_id") < F.col("doc_id")))
+    each = written(each.select("salt", *[F.when(known, F.col(c)).alias(c) for c in key], "doc_id", "part", "place"), "substring-windows")
+    found = each.filter(~known).select("doc_id", "part", "place")
+    if len(hot):
+        common = each.filter(known).drop("salt")
+        first = written(common.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "substring-firsts")
+        found = found.unionByName(common.join(first, key).filter("first_id < doc_id").select("doc_id", "part", "place"))
+    return found
 
 
 def kept_words(parts: list[bytes], places: list[int] | None, length: int) -> list[bytes]:
     if not places:
         return parts
     edges = np.zeros(len(parts) + 1, np.int64)
-    p = np.abs(np.array(places))
-    start, end = np.minimum(p // SPAN, len(parts)), np.minimum(p // SPAN + p % SPAN, len(parts))
-    np.add.at(edges, start, 1)
-    np.add.at(edges, end, -1)
-    marked = [x for x in places if x < 0]
-    if marked:
+    p = np.array(places)
+    start = np.where(p < 0, -1 - p, p)
+    marked = start[p < 0]
+    if len(marked):
         # All windows of the document that equal one in a marked place.
         own = Ranges(word_hashes(parts))
         every = np.arange(len(parts) - length + 1)
         hashes = own.get(every, every + length)
-        again = every[np.isin(hashes, hashes[windows_of(marked, length, len(parts))[0]])]
-        np.add.at(edges, again, 1)
-        np.add.at(edges, again + length, -1)
+        start = np.union1d(start, every[np.isin(hashes, hashes[marked])])
+    np.add.at(edges, start, 1)
+    np.add.at(edges, start + length, -1)
     keep = (np.cumsum(edges[:-1]) == 0).tolist()
     return [w for w, k in zip(parts, keep, strict=True) if k]
 
@@ -185,13 +236,18 @@ def kept_words(parts: list[bytes], places: list[int] | None, length: int) -> lis
 def deduplicated(docs: DataFrame, *, length: int = LENGTH, seed_words: int = SEED_WORDS, texts_out: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row of docs (doc_id, text); kept is the sha256 of the kept words
     joined by spaces, or with texts_out these words themselves."""
-    if not seed_words <= length < SPAN // 2:
-        raise ValueError(f"length must be from seed_words up to {SPAN // 2 - 1}")
+    if not 1 <= seed_words <= length:
+        raise ValueError("a window holds its seed")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    texts = docs.filter("doc_id is not null")
-    found = written(occurrences(texts, length, seed_words), "substring-stretches")
-    whole = found.filter("done").select("doc_id", "place").union(covered_windows(texts, found, length))
-    places = whole.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    texts, part = docs.filter("doc_id is not null"), F.lit(0).cast("long")
+    # Rows that repeat an id are told apart by their texts.
+    again = written(texts.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("again")), "substring-again")
+    if again.isEmpty():
+        discard(again)
+    else:
+        texts, part = texts.join(again, "doc_id", "left"), F.when(F.col("again"), F.xxhash64("text")).otherwise(0)
+    texts = texts.select("doc_id", "text", part.alias("part"))
+    places = covered_windows(texts, length, seed_words).groupBy("doc_id", "part").agg(F.collect_set("place").alias("places"))
     without = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("places"))
 
     def work(batch):
@@ -205,7 +261,8 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, seed_words: int = SEE
             kept.append(joined.decode("utf-8", "surrogatepass") if texts_out else hashlib.sha256(joined).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_words": n, "n_removed": removed, "kept": kept}
 
-    return map_batches(texts.join(places, "doc_id", "left").unionByName(without), lambda: work, "doc_id long, n_words long, n_removed long, kept string")
+    joined = texts.join(places, ["doc_id", "part"], "left").select("doc_id", "text", "places").unionByName(without)
+    return map_batches(joined, lambda: work, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
