@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITMAP_BITS = 32768  #: bits in one bitmap of bitmap_construct_agg
+BITS_PER_KEY = 16
+PROBE_BITS = 1 << 26  #: bits of a filter that is broadcast, at most: 8 MB
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,6 +29,27 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def bitmap_slot(buckets: int, key: str) -> tuple[Column, Column]:
+    """Bitmap (bucket) of a key and its bit in there."""
+    at = F.pmod(F.xxhash64(key), F.lit(buckets * BITMAP_BITS))
+    return F.floor(at / BITMAP_BITS).alias("bucket"), (at % BITMAP_BITS).alias("bit")
+
+
+def bitmap_has(bits: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0, F.lit(False))
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows with maybe: false only where the key is surely not in wanted. The filter has PROBE_BITS bits at most, so that it
+    may be broadcast; with more keys than it holds more rows are maybe in."""
+    buckets = max(1, min(PROBE_BITS, wanted.count() * BITS_PER_KEY) // BITMAP_BITS)
+    bucket, bit = bitmap_slot(buckets, key)
+    bits = wanted.select(bucket, bit).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    probed = rows.select("*", bucket.alias("_bucket"), bit.alias("_bit")).join(F.broadcast(bits.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))), "_bucket", "left")
+    return probed.select(*[F.col(c) for c in rows.columns], bitmap_has(F.col("_bits"), F.col("_bit")).alias("maybe"))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and returns the function for batches,
     which returns columns by name. Memory holds one Arrow batch at a time."""
