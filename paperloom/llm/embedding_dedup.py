@@ -1,20 +1,29 @@
 """Near-duplicate vectors by Euclidean p-stable hashing.
 
 Unit vectors with cosine c lie sqrt(2 - 2c) apart. A table's key is made of `projections` quantised Gaussian
-projections floor((a.x + b) / width); vectors that share the key of any of `tables` are candidates, each pair
-taken in the first table that it shares, and verified by cosine in double precision. At cosine 0.98 the
-defaults find 99 % of all pairs, closer ones more surely; no link is below the threshold.
+projections floor((a.x + b) / width); vectors that share the key of any of the tables are candidates if the signs of 64
+further projections, carried with the key, differ in at most SKETCH_BITS places (pairs at the threshold differ in 4, and in
+more than 16 once in a million; unlike ones in 32). Ids and keys alone are dealt for that; candidates are taken once,
+and then their vectors are fetched and their cosines computed in double precision. No link is below the threshold.
 
-Equal vectors of a label form one class and are counted, not joined pair by pair.
+Keys grow with the rows of the largest label, so that chance meetings of a vector stay as few: a projection more for every
+three times as many rows, and as many tables as leave the share of pairs that are found at the threshold at RECALL.
+
+Vectors are scaled by their largest component first, so that no square overflows or vanishes. Equal vectors of a label
+form one class and are counted, not joined pair by pair.
 
 Vectors that are null, empty, all zero or hold a null or a component that is not finite, and vectors without a
 label, link with nothing: n_links 0, their own component. Vectors of different lengths never link. Repeated
-vec_ids are treated as separate rows of one id. An empty table gives no rows; further columns are ignored.
+vec_ids are treated as separate rows of one id. An empty table gives no rows; further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +31,23 @@ from paperloom.llm.common import map_batches
 from paperloom.llm.components import components
 from paperloom.scratch import discard, written
 
-COSINE, TABLES, PROJECTIONS, WIDTH, SEED = 0.98, 16, 10, 1.3, 20240229
+COSINE, RECALL, WIDTH, SEED = 0.98, 0.998, 1.3, 20240229
+LEAST_PROJECTIONS, FEW_ROWS = 8, 2_000  #: projections of a key for up to so many rows of a label
+SKETCH_BITS = 16
+
+
+def collision(distance: float, width: float = WIDTH) -> float:
+    """Probability that two vectors at a distance share a quantised projection."""
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def key_sizes(rows: int, cosine: float = COSINE, recall: float = RECALL, width: float = WIDTH) -> tuple[int, int]:
+    """Tables and projections for so many rows of the largest label."""
+    unlike = collision(math.sqrt(2), width)
+    projections = LEAST_PROJECTIONS + math.ceil(max(0.0, math.log(max(1, rows) / FEW_ROWS) / -math.log(unlike)))
+    shared = collision(math.sqrt(2 - 2 * cosine), width) ** projections
+    return math.ceil(math.log(1 - recall) / math.log(1 - shared)), projections
 
 
 def table_keys(vectors: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
@@ -47,44 +72,51 @@ def stacked(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(n): (rows := np.flatnonzero(lengths == n), flat[starts[rows][:, None] + np.arange(n)]) for n in np.unique(lengths)}
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def sketches(vectors: np.ndarray, seed: int) -> np.ndarray:
+    """Signs of 64 projections."""
+    a = np.random.default_rng([seed, vectors.shape[1], 1]).standard_normal((vectors.shape[1], 64))
+    return np.packbits(vectors @ a > 0, axis=1).view(np.int64)[:, 0]
+
+
 def candidates(classes: DataFrame, tables: int, projections: int, width: float, seed: int) -> DataFrame:
-    """Pairs of classes (rep, label, n, embedding) of one label that share a key."""
-    names = [f"k{t}" for t in range(tables)]
+    """Pairs (u, v) of classes (rep, label, embedding) of one label and length that share a key and most of their signs."""
 
     def work(batch):
-        keys = np.zeros((batch.num_rows, tables), np.int32)
+        keys, signs, size = np.zeros((batch.num_rows, tables), np.int32), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
         for rows, x in stacked(batch.column("embedding")).values():
-            keys[rows] = table_keys(x / np.sqrt((x * x).sum(axis=1))[:, None], tables, projections, width, seed)
-        return {c: batch.column(c) for c in ("rep", "label", "n", "embedding")} | {k: keys[:, t] for t, k in enumerate(names)}
+            x = unit(x)
+            keys[rows], signs[rows], size[rows] = table_keys(x, tables, projections, width, seed), sketches(x, seed), x.shape[1]
+        each = np.repeat(np.arange(batch.num_rows), tables)
+        return {"label": batch.column("label").take(pa.array(each)), "t": np.tile(np.arange(tables, dtype=np.int32), batch.num_rows), "key": keys.ravel(), "size": size[each], "rep": batch.column("rep").to_numpy()[each], "signs": signs[each]}
 
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    keyed = map_batches(classes.select("rep", "label", "n", "embedding"), lambda: work, ", ".join([*(f"{c} {kinds[c]}" for c in ("rep", "label", "n", "embedding")), *(f"{k} int" for k in names)]))
-    dealt = keyed.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(k).alias("key")) for t, k in enumerate(names)])).alias("cell")).select("*", "cell.t", "cell.key").drop("cell")
-    a, b = (dealt.select(*[F.col(c).alias(f"{side}_{c}") for c in dealt.columns]) for side in "ab")
-    # A pair is taken in the first table that it shares.
-    earlier = F.lit(False)
-    for t, k in enumerate(names):
-        earlier = earlier | ((F.col("a_t") > t) & (F.col(f"a_{k}") == F.col(f"b_{k}")))
-    same = (F.col("a_label") == F.col("b_label")) & (F.col("a_t") == F.col("b_t")) & (F.col("a_key") == F.col("b_key"))
-    pairs = a.join(b, same & (F.col("a_rep") < F.col("b_rep")) & (F.size("a_embedding") == F.size("b_embedding")) & ~earlier)
-    return pairs.selectExpr("a_rep u", "b_rep v", "a_n n_u", "b_n n_v", "a_embedding", "b_embedding")
+    label = classes.schema["label"].dataType.simpleString()
+    keyed = map_batches(classes.select("rep", "label", "embedding"), lambda: work, f"label {label}, t int, key int, size int, rep long, signs long")
+    shared = ["label", "t", "key", "size"]
+    a, b = (keyed.select(*shared, F.col("rep").alias(x), F.col("signs").alias(f"{x}_signs")) for x in "uv")
+    near = F.bit_count(F.col("u_signs").bitwiseXOR(F.col("v_signs"))) <= SKETCH_BITS
+    return a.join(b, shared).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
-def linked(pairs: DataFrame, cosine: float) -> DataFrame:
-    """(u, v, n_u, n_v) of the pairs whose cosine is at least `cosine`."""
+def linked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """(u, v, n_u, n_v) of the pairs (u, v) whose cosine is at least `cosine`."""
 
     def work(batch):
         keep = np.zeros(batch.num_rows, bool)
-        left, right = stacked(batch.column("a_embedding")), stacked(batch.column("b_embedding"))
+        left, right = stacked(batch.column("a")), stacked(batch.column("b"))
         for n, (rows, x) in left.items():
-            y = right[n][1]
-            keep[rows] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)) >= cosine
+            keep[rows] = np.einsum("ij,ij->i", unit(x), unit(right[n][1])) >= cosine
         return {c: batch.column(c).to_numpy()[keep] for c in ("u", "v", "n_u", "n_v")}
 
-    return map_batches(pairs, lambda: work, "u long, v long, n_u long, n_v long")
+    own = lambda x, e: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("embedding").alias(e))
+    return map_batches(pairs.join(own("u", "a"), "u").join(own("v", "b"), "v"), lambda: work, "u long, v long, n_u long, n_v long")
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, recall: float = RECALL, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -93,7 +125,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int =
     # Rows of a digest are equal; the first of any of them has the vector.
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
     classes = written(classes.filter("rep is not null"), "vector-classes")
-    links = written(linked(candidates(classes, tables, projections, width, seed), cosine), "vector-links")
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, projections = key_sizes(largest, cosine, recall, width)
+    pairs = written(candidates(classes, tables, projections, width, seed), "vector-pairs")
+    links = written(linked(pairs, classes, cosine), "vector-links")
+    discard(pairs)
     found = components(links)
     sides = links.selectExpr("u rep", "n_v n").union(links.selectExpr("v rep", "n_u n"))
     degree = sides.groupBy("rep").agg(F.sum("n").alias("outside"))
