@@ -30,12 +30,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import documents, map_batches
+from paperloom.llm.common import documents, map_batches, maybe_in
 from paperloom.scratch import discard, written
 
 LENGTH, SEED_WORDS = 13, 4
 SAMPLE_DOCUMENTS = 20_000  #: documents, about, in which very common seeds are looked for
 HOT_SHARE, LEAST_HOT, HOT_SEEDS, SALTS = 0.002, 20, 10_000, 64
+SALT_STEP = 0x9E3779B97F4A7C  #: times the salt is what a common seed is changed by for the deal
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -142,13 +143,20 @@ def hot_seeds(texts: DataFrame, length: int, seed_words: int) -> np.ndarray:
     return np.sort(np.array([r["seed"] for r in top], np.int64))
 
 
+def packed_place(first: np.ndarray, offset: np.ndarray, salt: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """First window (31 bits and more), offset of the anchor (24 bits), salt (7 bits); negative (less one) if there are more."""
+    place = first << 31 | offset << 7 | salt
+    return np.where(more, -1 - place, place)
+
+
 def anchor_rows(texts: DataFrame, hot: np.ndarray, length: int, seed_words: int) -> DataFrame:
-    """One row an anchor of every row of texts (doc_id, part, text); place is negative (less one) if there are more."""
-    names = [f"{side}{size}" for size in levels(length, seed_words) for side in "rl"]
+    """One row an anchor of every row of texts (doc_id, part, text), in few columns, as all of them are dealt. seed is that
+    of the deal: of common seeds, one of SALTS; sides are the doubled parts of a level, behind and before, in 32 bits each."""
+    names = [f"sides{size}" for size in levels(length, seed_words)]
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def work(batch):
-        out = {k: [np.empty(0, np.int64)] for k in ("seed", "salt", "doc_id", "part", "place", "anchor", "n", *names)}
+        out = {k: [np.empty(0, np.int64)] for k in ("seed", "salt", "doc_id", "part", "first", "offset", "more", "n", *names)}
         windows = [np.empty(0, np.uint32)]
         for doc_id, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text")), strict=True):
             h = word_hashes(words(text))
@@ -156,27 +164,24 @@ def anchor_rows(texts: DataFrame, hot: np.ndarray, length: int, seed_words: int)
                 continue
             own = Anchors(h, length, seed_words)
             at, more = own.once()
-            seed = own.seed[at].view(np.int64)
-            out["seed"].append(seed)
-            out["salt"].append(np.full(len(at), 1 + (doc_id ^ part) % SALTS))
-            out["doc_id"].append(np.full(len(at), doc_id, np.int64))
-            out["part"].append(np.full(len(at), part, np.int64))
-            out["place"].append(np.where(more, -1 - own.first[at], own.first[at]))
-            out["anchor"].append(own.offset[at])
-            out["n"].append(own.count[at])
-            for name, values in zip(names, own.parts, strict=True):
-                out[name].append(values[at])
+            for name, values in zip(out, (own.seed[at].view(np.int64), np.full(len(at), 1 + (doc_id ^ part) % SALTS), np.full(len(at), doc_id, np.int64), np.full(len(at), part, np.int64), own.first[at], own.offset[at], more, own.count[at]), strict=False):
+                out[name].append(values)
+            for name, behind, before in zip(names, own.parts[::2], own.parts[1::2], strict=True):
+                out[name].append((behind[at] << 32 | before[at] & 0xFFFFFFFF))
             # Windows of the chosen anchors, anchor by anchor.
             ends = np.cumsum(own.count[at])
             windows.append(own.windows[np.repeat(own.first[at] - (ends - own.count[at]), own.count[at]) + np.arange(ends[-1] if len(ends) else 0)])
         out = {k: np.concatenate(v) for k, v in out.items()}
-        out["salt"] *= np.isin(out["seed"], shared.value)
-        offsets = np.concatenate(([0], np.cumsum(4 * out.pop("n")))).astype(np.int32)
+        salt = out["salt"] * np.isin(out["seed"], shared.value)
+        with np.errstate(over="ignore"):
+            out["seed"] ^= salt * SALT_STEP
+        out["place"] = packed_place(out["first"], out["offset"], salt, out["more"].astype(bool))
+        offsets = np.concatenate(([0], np.cumsum(4 * out["n"]))).astype(np.int32)
         out["windows"] = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(windows))])
         return out
 
-    schema = "seed long, salt int, doc_id long, part long, place long, anchor int, windows binary"
-    return map_batches(texts.select("doc_id", "part", "text"), lambda: work, ", ".join([schema, *(f"{x} int" for x in names)]))
+    schema = "seed long, doc_id long, part long, place long, windows binary"
+    return map_batches(texts.select("doc_id", "part", "text"), lambda: work, ", ".join([schema, *(f"{x} long" for x in names)]))
 
 
 def repeated(*key: str) -> Column:
@@ -188,27 +193,30 @@ def repeated(*key: str) -> Column:
 def covered_windows(texts: DataFrame, length: int, seed_words: int) -> DataFrame:
     """(doc_id, part, place) of windows that start in an earlier document too."""
     sizes, hot = levels(length, seed_words), hot_seeds(texts, length, seed_words)
-    deal, known = ["seed", "salt"], F.col("salt") > 0
-    rows = anchor_rows(texts, hot, length, seed_words).repartition(*deal)
-    rows = rows.withColumn("goes_on", known | repeated(*deal)).filter("goes_on")
+    rows = anchor_rows(texts, hot, length, seed_words).repartition("seed")
+    place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    known = F.col("salt") > 0
+    rows = rows.withColumn("salt", place.bitwiseAND(127)).withColumn("goes_on", known | repeated("seed")).filter("goes_on")
     for size in sizes:
+        sides = F.col(f"sides{size}")
+        rows = rows.withColumn(f"r{size}", F.shiftright(sides, 32)).withColumn(f"l{size}", F.when(sides.bitwiseAND(1 << 31) == 0, sides.bitwiseAND((1 << 31) - 1)).otherwise(-1))
         for side in "rl":
-            rows = rows.withColumn(f"{side}{size}_goes_on", (F.col(f"{side}{size}") >= 0) & (known | repeated(*deal, f"{side}{size}")))
+            rows = rows.withColumn(f"{side}{size}_goes_on", (F.col(f"{side}{size}") >= 0) & (known | repeated("seed", f"{side}{size}")))
         rows = rows.filter(F.col(f"r{size}_goes_on") | F.col(f"l{size}_goes_on"))
     # Each window with the parts that it holds.
-    each = rows.withColumn("i", F.explode(F.expr("sequence(0, cast(length(windows) / 4 as int) - 1)")))
-    behind = lambda size: F.col("anchor") - F.col("i") + size <= length
+    each = rows.withColumn("offset", F.shiftright(place, 7).bitwiseAND((1 << 24) - 1)).withColumn("i", F.explode(F.expr("sequence(0, cast(length(windows) / 4 as int) - 1)")))
+    behind = lambda size: F.col("offset") - F.col("i") + size <= length
     for size in sizes:
         each = each.filter(F.when(behind(size), F.col(f"r{size}_goes_on")).otherwise(F.col(f"l{size}_goes_on")))
     parts = [F.when(behind(size), F.col(f"r{size}")).otherwise(F.col(f"l{size}")).alias(f"p{size}") for size in sizes]
-    place = F.when(F.col("place") < 0, F.col("place") - F.col("i")).otherwise(F.col("place") + F.col("i"))
-    each = each.select(*deal, *parts, F.expr("substring(windows, 4 * i + 1, 4)").alias("own"), "doc_id", "part", place.alias("place"))
+    first = F.shiftright(place, 31) + F.col("i")
+    each = each.select("seed", "salt", *parts, F.expr("substring(windows, 4 * i + 1, 4)").alias("own"), "doc_id", "part", F.when(F.col("place") < 0, -1 - first).otherwise(first).alias("place"))
     key = ["seed", *(f"p{size}" for size in sizes), "own"]
-    each = each.withColumn("first_id", F.min("doc_id").over(Window.partitionBy(*deal, *key[1:]))).filter(known | (F.col("first_id") < F.col("doc_id")))
+    each = each.withColumn("first_id", F.min("doc_id").over(Window.partitionBy(*key))).filter(known | (F.col("first_id") < F.col("doc_id")))
     each = written(each.select("salt", *[F.when(known, F.col(c)).alias(c) for c in key], "doc_id", "part", "place"), "substring-windows")
     found = each.filter(~known).select("doc_id", "part", "place")
     if len(hot):
-        common = each.filter(known).drop("salt")
+        common = each.filter(known).withColumn("seed", F.col("seed").bitwiseXOR(F.col("salt") * SALT_STEP)).drop("salt")
         first = written(common.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "substring-firsts")
         found = found.unionByName(common.join(first, key).filter("first_id < doc_id").select("doc_id", "part", "place"))
     return found
@@ -261,7 +269,11 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, seed_words: int = SEE
             kept.append(joined.decode("utf-8", "surrogatepass") if texts_out else hashlib.sha256(joined).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_words": n, "n_removed": removed, "kept": kept}
 
-    joined = texts.join(places, ["doc_id", "part"], "left").select("doc_id", "text", "places").unionByName(without)
+    # Texts whose ids surely have no place are not dealt.
+    places = written(places, "substring-places")
+    marked = maybe_in(texts, places, "doc_id")
+    without = without.unionByName(marked.filter("not maybe").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("places")))
+    joined = marked.filter("maybe").join(places, ["doc_id", "part"], "left").select("doc_id", "text", "places").unionByName(without)
     return map_batches(joined, lambda: work, "doc_id long, n_words long, n_removed long, kept string")
 
 
