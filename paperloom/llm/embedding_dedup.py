@@ -31,7 +31,7 @@ from paperloom.llm.common import map_batches
 from paperloom.llm.components import components
 from paperloom.scratch import discard, written
 
-COSINE, RECALL, WIDTH, SEED = 0.98, 0.998, 1.3, 20240229
+COSINE, RECALL, WIDTH, SEED = 0.98, 0.999, 1.3, 20240229
 LEAST_PROJECTIONS, FEW_ROWS = 8, 2_000  #: projections of a key for up to so many rows of a label
 SKETCH_BITS = 16
 
