@@ -1,8 +1,9 @@
 """The store: append-only Parquet logs of documents, audit events and corrections, with current views.
 
 A version of a document is a row; nothing is overwritten. The current row has the last hashes and time, the last
-JSON and type that are not null, and the order of the first version. Batches are folders named by their number,
-so one written again after a failure replaces itself.
+JSON and type that are not null, and the order of the first version. A batch is a folder named by its run, its number
+and the kind of its rows, so one written again after a failure replaces itself, other kinds of rows of the same number stay,
+and another run that counts from 0 again overwrites nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ SCHEMAS = {
     "audit_log": "document_id string, action string, actor string, timestamp string, detail string, seq long",
     "corrections": "document_id string, doc_type string, field_name string, original_value string, corrected_value string, corrected_by string, corrected_at string, ocr_context_snippet string, seq long",
 }
-NAMES = {"documents": ("document_id",), "audit_log": ("document_id",), "corrections": ("document_id", "doc_type")}
+PLACE = ", run string, batch long, kind string"
 
 
 def fold_versions(versions: DataFrame, key: str, last: list[str], last_not_null: list[str]) -> DataFrame:
@@ -33,20 +34,24 @@ def fold_versions(versions: DataFrame, key: str, last: list[str], last_not_null:
 class Store:
     spark: SparkSession
     root: str
+    run: str = "main"
 
-    def read(self, table: str) -> DataFrame:
-        reader = self.spark.read.schema(SCHEMAS[table] + ", batch long")
+    def read(self, table: str, without_batch: int | None = None) -> DataFrame:
+        """The rows of a table; those of one batch of this run are left out if it is about to be written (again)."""
+        reader = self.spark.read.schema(SCHEMAS[table] + PLACE)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        frame = reader.parquet(f"{self.root}/{table}") if there else self.spark.createDataFrame([], SCHEMAS[table] + ", batch long")
-        return frame.select(*[c for c in frame.columns if c != "batch"])
+        frame = reader.parquet(f"{self.root}/{table}") if there else self.spark.createDataFrame([], SCHEMAS[table] + PLACE)
+        if without_batch is not None:
+            frame = frame.filter((F.col("run") != self.run) | (F.col("batch") != without_batch))
+        return frame.drop("run", "batch", "kind")
 
-    def append(self, table: str, rows: DataFrame, batch: int) -> None:
+    def append(self, table: str, rows: DataFrame, batch: int, kind: str = "rows") -> None:
         columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/run={self.run}/batch={batch}/kind={kind}")
 
-    def current(self) -> DataFrame:
-        return fold_versions(self.read("documents"), "document_id", ["file_hash_sha256", "perceptual_hash", "upload_timestamp"], ["full_result_json", "doc_type"])
+    def current(self, without_batch: int | None = None) -> DataFrame:
+        return fold_versions(self.read("documents", without_batch), "document_id", ["file_hash_sha256", "perceptual_hash", "upload_timestamp"], ["full_result_json", "doc_type"])
 
     def result(self, document_id: str, schema: str) -> DataFrame:
         """The stored result of one document as a STRUCT; no row where there is none or it cannot be parsed."""
@@ -68,17 +73,18 @@ class Store:
     def save_json(self, rows: DataFrame, batch: int) -> None:
         """rows (document_id, full_result_json, seq) as new versions of documents that exist; others are ignored."""
         keep = rows.join(self.current().select("document_id", "file_hash_sha256", "perceptual_hash", "upload_timestamp"), "document_id")
-        self.append("documents", keep.withColumn("doc_type", F.lit(None).cast("string")), batch)
+        self.append("documents", keep.withColumn("doc_type", F.lit(None).cast("string")), batch, "json")
 
     def correct(self, corrections: DataFrame, batch: int) -> None:
         """Corrections and the audit events that tell of them, in one batch."""
         clean = corrections.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("field_name", "original_value", "corrected_value", "corrected_by", "ocr_context_snippet")})
         self.append("corrections", clean, batch)
         detail = F.concat(F.col("field_name"), F.lit(": '"), F.col("original_value"), F.lit("' -> '"), F.col("corrected_value"), F.lit("'"))
-        self.append("audit_log", clean.select("document_id", F.lit("field_corrected").alias("action"), F.col("corrected_by").alias("actor"), F.col("corrected_at").alias("timestamp"), detail.alias("detail"), "seq"), batch)
+        self.append("audit_log", clean.select("document_id", F.lit("field_corrected").alias("action"), F.col("corrected_by").alias("actor"), F.col("corrected_at").alias("timestamp"), detail.alias("detail"), "seq"), batch, "corrected")
 
-    def record(self, events: DataFrame, batch: int) -> None:
-        self.append("audit_log", events.withColumn("timestamp", F.coalesce("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))), batch)
+    def record(self, events: DataFrame, batch: int, kind: str = "events") -> None:
+        """Audit events; events of one batch and kind replace those written before."""
+        self.append("audit_log", events.withColumn("timestamp", F.coalesce("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))), batch, kind)
 
     def apply_corrections(self, schema: str, corrections: DataFrame, batch: int) -> None:
         """Corrections (as correct() takes them) written into the stored results too: value, full score, green. Their audit

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions import constants as K
 from paperloom.operators import checks, dedup, extraction, grounding, layout, pixels, privacy, quality, review, scoring
 from paperloom.operators.quality import grey
 from paperloom.operators.store import Store
@@ -52,21 +51,38 @@ def _nested(df: DataFrame, name: str, columns: tuple[str, ...], order: tuple[str
     return df.groupBy("document_id").agg(F.transform(rows, lambda r: r["v"]).alias(name))
 
 
+def numbered(rows: DataFrame, order: list[str], store: Store, batch: int) -> DataFrame:
+    """rows with seq: from the last one in the store on, in the order of columns. Rows are dealt by ranges and numbered in each,
+    from the number of rows in the ranges before."""
+    last = store.read("documents", batch).agg(F.max("seq")).first()[0] or 0
+    ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    before, offsets = last, []
+    for part in sorted(counts):
+        offsets.append((part, before))
+        before += counts[part]
+    offsets = rows.sparkSession.createDataFrame(offsets, "range int, before long")
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "range").withColumn("seq", F.col("before") + own).drop("range", "before")
+
+
 def process(files: DataFrame, store: Store, batch: int, providers: Providers | None = None) -> DataFrame:
     """Ingest files (as sources.files gives them) as one batch; returns (document_id, outcome) of every file, where
-    outcome is rejected, duplicate or the review status."""
+    outcome is unreadable (no decoder gave a page), rejected, duplicate or the review status. A batch may run again: it
+    gives the same rows, whatever an earlier try has written."""
     p = providers or Providers()
     files = written(files.dropDuplicates(["document_id"]), "files")
     images = written(read_pages(files, p.pages), "pages")
     measured = written(quality.page_measures(images).join(_skews(images), ["document_id", "page"]), "measures")
     rated = quality.rollup(measured)
     first_hash = measured.filter("page = 1").select("document_id", "perceptual_hash")
-    order = F.row_number().over(Window.orderBy("upload_timestamp", "document_id"))
-    meta = files.select("document_id", "original_filename", "file_hash_sha256", "upload_timestamp").join(first_hash, "document_id", "left").join(rated.select("document_id", "status"), "document_id", "left")
-    # Names and hashes alone are ordered by time; a batch holds a bounded number of files.
-    meta = written(meta.withColumn("perceptual_hash", F.coalesce("perceptual_hash", F.lit(K.NO_HASH))).withColumn("seq", F.lit(batch) * 1_000_000_000 + order), "meta")
-    good = meta.filter(F.coalesce("status", F.lit("ok")) == "ok").select("document_id", F.col("file_hash_sha256").alias("file_hash"), "perceptual_hash", "seq")
-    stored = store.current().select("document_id", F.col("file_hash_sha256").alias("file_hash"), "perceptual_hash", "seq")
+    meta = files.select("document_id", "original_filename", "file_hash_sha256", "upload_timestamp", "kind").join(first_hash, "document_id", "left").join(rated.select("document_id", "status"), "document_id", "left")
+    # Plain text has no looks: pictures of it do not tell texts apart.
+    meta = meta.withColumn("perceptual_hash", F.when(F.col("kind") != "txt", F.col("perceptual_hash"))).withColumn("status", F.coalesce("status", F.lit("unreadable")))
+    meta = written(numbered(meta.drop("kind"), ["upload_timestamp", "document_id"], store, batch), "meta")
+    good = meta.filter("status = 'ok'").select("document_id", F.col("file_hash_sha256").alias("file_hash"), "perceptual_hash", "seq")
+    # What an earlier try of this batch has written does not count.
+    stored = store.current(batch).select("document_id", F.col("file_hash_sha256").alias("file_hash"), "perceptual_hash", "seq")
     repeats = dedup.find_duplicates(good, stored)
     # Within the batch documents come one by one, as they would from a reader.
     kept = dedup.accepted_in_order(good.join(repeats, "document_id", "left_anti"))
@@ -121,8 +137,9 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers | N
         result = result.join(part, "document_id", "left")
     columns = [f.name for f in T.StructType.fromDDL(RESULT).fields]
     result = written(result.select("document_id", "file_hash_sha256", "perceptual_hash", "upload_timestamp", "doc_type", "seq", "overall_status", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("full_result_json")), "results")
-    store.append("documents", result, batch)
     uploaded = result.select("document_id", F.lit("document_uploaded").alias("action"), F.lit("system").alias("actor"), F.col("upload_timestamp").alias("timestamp"), F.col("doc_type").alias("detail"), "seq")
-    store.record(review.audit_once(uploaded, store.read("audit_log"), "document_uploaded"), batch)
-    outcome = F.when(F.col("status") != "ok", "rejected").otherwise(F.coalesce("overall_status", F.lit("duplicate")))
+    # A try that ends between the two is made good by the next one, which writes both again.
+    store.record(review.audit_once(uploaded, store.read("audit_log", batch), "document_uploaded"), batch, "uploaded")
+    store.append("documents", result, batch)
+    outcome = F.when(F.col("status") == "unreadable", "unreadable").when(F.col("status") != "ok", "rejected").otherwise(F.coalesce("overall_status", F.lit("duplicate")))
     return meta.join(result.select("document_id", "overall_status"), "document_id", "left").select("document_id", "original_filename", outcome.alias("outcome"))

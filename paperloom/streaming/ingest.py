@@ -1,9 +1,12 @@
 """Files that arrive are ingested batch by batch, by the same plan as a batch run.
 
-The batch number names the batch's folders in the store, so a batch that runs again after a failure replaces itself."""
+The stream's id, which its checkpoint keeps, and the batch number name the batch's folders in the store: a batch that
+runs again after a failure replaces itself, and a stream with a new checkpoint replaces nothing."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +21,8 @@ def start(spark: SparkSession, path: str, store: Store, checkpoint: str, *, prov
 
     def ingest(batch_df, batch_id: int) -> None:
         if not batch_df.isEmpty():
-            process(batch_df, store, batch_id, providers).filter(F.lit(False)).count()
+            own = batch_df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            process(batch_df, replace(store, run=own or store.run), batch_id, providers).filter(F.lit(False)).count()
 
     writer = scan_stream(spark, path, glob, files_per_batch).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
