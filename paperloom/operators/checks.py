@@ -1,7 +1,8 @@
 """Business checks: sums, net pay, order of dates, fonts.
 
 fields: document_id, name, value. cells: document_id, table_idx, table_name, row_index, col_name, value.
-Every check gives document_id, check_name, passed and detail; a check that lacks its inputs passes as skipped.
+Every check gives document_id, check_name, passed and detail; a check that lacks its inputs passes as skipped. An amount of
+more than 22 digits before the point is no amount: such an item does not count, and a check with such a total is skipped.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ MONEY = "decimal(28,6)"
 
 def sum_check(declared: DataFrame, items: DataFrame, tolerance: float = K.SUM_TOLERANCE) -> DataFrame:
     """declared (document_id, total) against the sum of items (document_id, amount), all rows of declared kept."""
-    sums = items.groupBy("document_id").agg(F.sum(F.col("amount").cast(MONEY)).alias("item_sum"))
-    diff = F.round(F.abs(F.round("item_sum", 2) - F.col("total").cast(MONEY)), 2)
+    sums = items.groupBy("document_id").agg(F.try_sum(F.col("amount").try_cast(MONEY)).alias("item_sum"))
+    diff = F.round(F.abs(F.round("item_sum", 2) - F.col("total").try_cast(MONEY)), 2)
     out = declared.join(sums, "document_id", "left").withColumn("difference", diff)
     known = F.col("difference").isNotNull()
     return out.select(
@@ -60,8 +61,8 @@ def line_items_check(fields: DataFrame, cells: DataFrame, tolerance: float = K.S
 
 def net_pay_check(pay: DataFrame, tolerance: float = K.SUM_TOLERANCE) -> DataFrame:
     """pay: document_id, gross, net, deductions (null counts as none)."""
-    expected = F.round(F.col("gross").cast(MONEY) - F.coalesce(F.col("deductions").cast(MONEY), F.lit(0)), 2)
-    out = pay.withColumn("expected_net", expected).withColumn("difference", F.round(F.abs(F.col("expected_net") - F.col("net").cast(MONEY)), 2))
+    expected = F.round(F.col("gross").try_cast(MONEY) - F.coalesce(F.col("deductions").try_cast(MONEY), F.lit(0)), 2)
+    out = pay.withColumn("expected_net", expected).withColumn("difference", F.round(F.abs(F.col("expected_net") - F.col("net").try_cast(MONEY)), 2))
     known = F.col("difference").isNotNull()
     return out.select(
         "document_id",
@@ -77,12 +78,12 @@ def deductions_check(fields: DataFrame, cells: DataFrame, tolerance: float = K.S
     """A table of deductions counts even if none of its amounts can be read; only without one does the total field."""
     table = first_table(cells, F.contains(F.lower("table_name"), F.lit("deduction")))
     there = table.select("document_id").distinct().withColumn("has_table", F.lit(True))
-    sums = row_amounts(table, ("amount", "deduction_amount")).groupBy("document_id").agg(F.sum(F.col("amount").cast(MONEY)).alias("table_sum"))
+    sums = row_amounts(table, ("amount", "deduction_amount")).groupBy("document_id").agg(F.try_sum(F.col("amount").try_cast(MONEY)).alias("table_sum"))
     pay = fields.select("document_id").distinct()
     for name, alias in (("gross_pay", "gross"), ("net_pay", "net"), ("total_deductions", "stated")):
         pay = pay.join(_field(fields, name, alias), "document_id", "left")
     pay = pay.join(there, "document_id", "left").join(sums, "document_id", "left")
-    return net_pay_check(pay.withColumn("deductions", F.when(F.col("has_table"), F.col("table_sum")).otherwise(F.col("stated").cast(MONEY))), tolerance)
+    return net_pay_check(pay.withColumn("deductions", F.when(F.col("has_table"), F.col("table_sum")).otherwise(F.col("stated").try_cast(MONEY))), tolerance)
 
 
 def order_of_dates(pairs: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def document_texts(pages: DataFrame) -> DataFrame:
     return marked.groupBy("document_id").agg(_joined("marked", "page", "\n\n").alias("document_text"))
 
 
-def metrics(words: DataFrame) -> DataFrame:
-    """Mean word confidence and the number of words below the limit."""
+def metrics(words: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Mean word confidence and the number of words below the limit; both 0 for documents (document_id) without words."""
     low = F.count_if(F.col("confidence") < K.LOW_WORD_CONFIDENCE)
-    return words.groupBy("document_id").agg(mean4(F.sum(units(F.col("confidence"))), F.count(F.lit(1))).alias("average_confidence"), low.alias("low_confidence_word_count"))
+    found = words.groupBy("document_id").agg(mean4(F.sum(units(F.col("confidence"))), F.count(F.lit(1))).alias("average_confidence"), low.alias("low_confidence_word_count"))
+    return found if documents is None else documents.select("document_id").distinct().join(found, "document_id", "left").fillna({"average_confidence": 0.0, "low_confidence_word_count": 0})

@@ -113,7 +113,7 @@ def reveal_attempts(attempts: DataFrame, pins: DataFrame) -> DataFrame:
     """Audit events of attempts (document_id, role, entered, timestamp, seq) to see masked fields. pins (role, pin) come
     from configuration; an unknown role fails."""
     known = pins.select(F.lower(F.trim("role")).alias("role_key"), F.trim("pin").alias("pin"))
-    tried = attempts.withColumn("role_key", F.lower(F.trim("role"))).join(F.broadcast(known), "role_key", "left")
+    tried = attempts.withColumn("role_key", F.lower(F.trim("role"))).join(known, "role_key", "left")
     ok = F.coalesce(F.trim("entered") == F.col("pin"), F.lit(False))
     action = F.when(ok, "confidential_field_revealed").otherwise("confidential_reveal_failed")
     return tried.select("document_id", action.alias("action"), F.coalesce("role", F.lit("")).alias("actor"), "timestamp", F.when(ok, "fields shown").otherwise("wrong pin").alias("detail"), "seq")

@@ -27,9 +27,10 @@ def score_cells(cells: DataFrame) -> DataFrame:
     return cells.withColumn("confidence", cell_score(F.col("ocr_confidence"), F.col("value")))
 
 
-def score_tables(cells: DataFrame) -> DataFrame:
-    """(document_id, table_idx, table_confidence) of scored cells; 0 for a table without."""
-    return cells.groupBy("document_id", "table_idx").agg(F.coalesce(mean4(F.sum(units(F.col("confidence"))), F.count("confidence")), F.lit(0.0)).alias("table_confidence"))
+def score_tables(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(document_id, table_idx, table_confidence) of scored cells; 0 for one of tables (document_id, table_idx) without."""
+    found = cells.groupBy("document_id", "table_idx").agg(F.coalesce(mean4(F.sum(units(F.col("confidence"))), F.count("confidence")), F.lit(0.0)).alias("table_confidence"))
+    return found if tables is None else tables.select("document_id", "table_idx").distinct().join(found, ["document_id", "table_idx"], "left").fillna(0.0, ["table_confidence"])
 
 
 def table_boxes(cells: DataFrame) -> DataFrame:

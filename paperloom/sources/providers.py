@@ -168,16 +168,15 @@ class Fallback:
 
 
 def read_pages(files: DataFrame, provider: PageProvider) -> DataFrame:
-    """(document_id, page, height, width, channels, pixels); a file that cannot be decoded has no page."""
+    """(document_id, page, height, width, channels, pixels); a file that cannot be decoded, or for which no decoder is
+    configured, has no page and does not stop the others."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for row in pdf.itertuples():
                 try:
                     images = provider.pages(row.kind, bytes(row.content))
-                except Unavailable:
-                    raise
-                except Exception:  # noqa: BLE001  broken input
+                except Exception:  # noqa: BLE001  broken input, or no decoder
                     images = []
                 if images:
                     yield pd.DataFrame([(row.document_id, i + 1, *m.shape, m.tobytes()) for i, m in enumerate(images)], columns=["document_id", "page", "height", "width", "channels", "pixels"])
@@ -195,7 +194,10 @@ def read_words(files: DataFrame, provider: WordProvider) -> DataFrame:
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for row in pdf.itertuples():
-                words = provider.words(row.kind, bytes(row.content))
+                try:
+                    words = provider.words(row.kind, bytes(row.content))
+                except Unavailable:
+                    words = []
                 if words:
                     out = pd.DataFrame(words)[names]
                     out["confidence"] = (out["confidence"] / 100).round(4)
