@@ -21,24 +21,34 @@ def clean_json(raw: Column) -> Column:
 def parse_answer(raw: Column) -> Column:
     """STRUCT of fields and tables of a model's answer, null if it is no JSON object. Fields or tables that are
     themselves JSON texts are decoded."""
-    text = clean_json(raw)
-    # The order of fields is that of the text; objects of the variant type would sort them.
-    part = lambda name: F.coalesce(F.get_json_object(text, f"$.{name}"), F.lit(""))
-    fields = F.from_json(part("fields"), "map<string,string>")
-    tables = F.from_json(part("tables"), "array<struct<table_name:string,rows:array<map<string,string>>>>")
-    return F.when(F.startswith(F.get_json_object(text, "$"), F.lit("{")), F.struct(fields.alias("fields"), tables.alias("tables")))
+    # Both parts as texts, which keeps the order of fields; objects of the variant type would sort them. What a lambda is
+    # given is computed once.
+    parts = F.from_json(clean_json(raw), "fields string, tables string, _corrupt_record string")
+
+    def answer(p: Column) -> Column:
+        fields = F.from_json(F.coalesce(p["fields"], F.lit("")), "map<string,string>")
+        tables = F.from_json(F.coalesce(p["tables"], F.lit("")), "array<struct<table_name:string,rows:array<map<string,string>>>>")
+        return F.when(p.isNotNull() & p["_corrupt_record"].isNull(), F.struct(fields.alias("fields"), tables.alias("tables")))
+
+    return F.get(F.transform(F.array(parts), answer), F.lit(0))
+
+
+def entries(m: Column) -> Column:
+    """Entries of a map in order; of a repeated key the last value, at the place of the first."""
+    last = lambda k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)
+    return F.transform(F.array_distinct(F.map_keys(m)), last)
 
 
 def fields_of(answers: DataFrame) -> DataFrame:
     """(document_id, doc_type, pos, name, value, field_type) of answers (document_id, doc_type, answer STRUCT);
     null-like values are left out."""
-    rows = answers.select("document_id", "doc_type", F.posexplode(F.map_entries("answer.fields")).alias("pos", "e")).select("document_id", "doc_type", "pos", F.col("e.key").alias("name"), F.col("e.value").alias("value"))
+    rows = answers.select("document_id", "doc_type", F.posexplode(entries(F.col("answer.fields"))).alias("pos", "e")).select("document_id", "doc_type", "pos", F.col("e.key").alias("name"), F.col("e.value").alias("value"))
     return rows.filter(~nullish(F.col("value"))).withColumn("field_type", expected_type(F.col("doc_type"), F.col("name"), F.col("value")))
 
 
 def skipped_fields(answers: DataFrame) -> DataFrame:
     """(document_id, name) of fields whose values are null-like."""
-    rows = answers.select("document_id", F.explode(F.map_entries("answer.fields")).alias("e"))
+    rows = answers.select("document_id", F.explode(entries(F.col("answer.fields"))).alias("e"))
     return rows.filter(nullish(F.col("e.value"))).select("document_id", F.col("e.key").alias("name"))
 
 
@@ -46,7 +56,7 @@ def cells_of(answers: DataFrame) -> DataFrame:
     """(document_id, table_idx, table_name, row_index, col_pos, col_name, value); rows count from 1."""
     tables = answers.select("document_id", F.posexplode("answer.tables").alias("table_idx", "t"))
     rows = tables.select("document_id", "table_idx", F.coalesce("t.table_name", F.concat(F.lit("table_"), (F.col("table_idx") + 1).cast("string"))).alias("table_name"), F.posexplode("t.rows").alias("row", "cells"))
-    cells = rows.select("document_id", "table_idx", "table_name", (F.col("row") + 1).alias("row_index"), F.posexplode(F.map_entries("cells")).alias("col_pos", "c"))
+    cells = rows.select("document_id", "table_idx", "table_name", (F.col("row") + 1).alias("row_index"), F.posexplode(entries(F.col("cells"))).alias("col_pos", "c"))
     return cells.select("document_id", "table_idx", "table_name", "row_index", "col_pos", F.col("c.key").alias("col_name"), F.col("c.value").alias("value")).filter("value is not null")
 
 

@@ -54,10 +54,10 @@ def context(documents: DataFrame, fields: DataFrame, cells: DataFrame, checks: D
 
 
 def relevant(contexts: DataFrame, query: str, k: int) -> DataFrame:
-    """The k documents that share most words with the question; all of them fit into no prompt at scale."""
+    """The k contexts (…, seq) that share most words with the question, of equal ones the newest: for prompts with a limit."""
     words = [w for w in {x.lower() for x in query.split()} if len(w) > 2]
     hits = sum((F.contains(F.lower("context"), F.lit(w)).cast("int") for w in words), F.lit(0))
-    return contexts.withColumn("hits", hits).orderBy(F.desc("hits"), "document_id").limit(k)
+    return contexts.withColumn("hits", hits).orderBy(F.desc("hits"), F.desc("seq"), "document_id").limit(k)
 
 
 def recent_turns(conversations: DataFrame, k: int = K.HISTORY_TURNS) -> DataFrame:
@@ -83,11 +83,17 @@ def parse_answer(raw: Column) -> Column:
 
 def references(answers: DataFrame, documents: DataFrame) -> DataFrame:
     """(answer_id, answer, referenced_documents): ids that the tag lists, then those of documents (document_id, seq)
-    whose id or its first 8 characters stand in the answer, newest first. The ids that answers name are taken out
-    of the text, so that this is an equi-join and not a comparison of every answer with every document."""
+    whose id or its first 8 characters stand anywhere in the answer, newest first. Pieces of the answer of 8 characters are
+    joined with the starts of ids, and shorter pieces with ids that are shorter, so that no answer is compared with every
+    document."""
     parsed = answers.select("answer_id", parse_answer(F.col("raw")).alias("p")).select("answer_id", "p.*")
-    tokens = parsed.select("answer_id", F.explode(F.array_distinct(F.flatten(F.array(F.regexp_extract_all("answer", F.lit(r"([0-9A-Za-z_-]{8,})"), 1), F.col("listed"))))).alias("token"))
-    ids = documents.select("document_id", "seq", F.explode(F.array_distinct(F.array("document_id", F.substring("document_id", 1, 8)))).alias("token"))
-    hit = tokens.withColumn("token", F.explode(F.array_distinct(F.array("token", F.substring("token", 1, 8))))).join(ids, "token").groupBy("answer_id", "document_id").agg(F.max("seq").alias("seq"))
+    ids = documents.filter("document_id != ''").select("document_id", "seq", F.substring("document_id", 1, 8).alias("piece"))
+    start = F.explode(F.sequence(F.lit(1), F.greatest(F.length("answer"), F.lit(1))))
+    at = parsed.select("answer_id", "answer", start.alias("at"))
+    pieces = at.select("answer_id", F.expr("substring(answer, at, 8)").alias("piece")).distinct()
+    shorter = at.select("answer_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.col("answer").substr(F.col("at"), n))).alias("piece")).distinct()
+    short = F.length("document_id") < 8
+    hit = pieces.join(ids.filter(~short), "piece").unionByName(shorter.join(ids.filter(short), "piece"))
+    hit = hit.groupBy("answer_id", "document_id").agg(F.max("seq").alias("seq"))
     found = hit.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("o"), "document_id"))), lambda s: s["document_id"]).alias("found"))
     return parsed.join(found, "answer_id", "left").select("answer_id", "answer", F.array_union("listed", F.coalesce("found", F.array().cast("array<string>"))).alias("referenced_documents"))

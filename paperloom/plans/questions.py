@@ -1,7 +1,8 @@
 """Answers to questions over the store: context, prompt, model, references.
 
-Contexts are built on the executors; the documents that share most words with the question fit the prompt, and only those
-reach the driver."""
+Contexts are built on the executors. All of them are in the prompt, unless a number of documents is asked for: then those
+that share most words with the question, and the prompt says how many are left out. References are looked for among all
+processed documents in either case."""
 
 from __future__ import annotations
 
@@ -42,21 +43,25 @@ def contexts(store: Store):
     return made.join(docs.select("document_id", "seq"), "document_id")
 
 
-def answer(store: Store, query: str, model: ModelProvider, history: list[dict] | None = None, documents: int = 50) -> dict:
-    """answer and referenced_documents; documents bounds those in the prompt."""
-    found = retrieval.relevant(contexts(store), query, documents).orderBy(F.desc("seq")).collect()
-    if not found:
+def answer(store: Store, query: str, model: ModelProvider, history: list[dict] | None = None, documents: int | None = None) -> dict:
+    """answer and referenced_documents; documents bounds those in the prompt, for models that read no more."""
+    held = contexts(store)
+    ids = held.select("document_id", "seq")
+    n = ids.count()
+    if not n:
         return {"answer": EMPTY, "referenced_documents": []}
+    found = (held if documents is None else retrieval.relevant(held, query, documents)).orderBy(F.desc("seq")).collect()
+    left_out = f"\n\n{n - len(found)} further documents are not shown." if n > len(found) else ""
     turns = [f"{str(t.get('role', 'user')).title()}: {str(t.get('content', '')).strip()}" for t in (history or [])[-K.HISTORY_TURNS :]]
-    prompt = "\n\n".join([RULES, "Conversation so far:\n" + ("\n".join(turns) or "none"), "Documents:\n" + "\n\n".join(r["context"] for r in found), "Question: " + query])
+    prompt = "\n\n".join([RULES, "Conversation so far:\n" + ("\n".join(turns) or "none"), "Documents:\n" + "\n\n".join(r["context"] for r in found) + left_out, "Question: " + query])
     try:
         raw = model.complete(prompt)
     except Unavailable:
         return {"answer": FAILED, "referenced_documents": []}
     spark = store.spark
     told = spark.createDataFrame([(1, raw)], "answer_id int, raw string")
-    row = retrieval.references(told, spark.createDataFrame([(r["document_id"], r["seq"]) for r in found], "document_id string, seq long")).first()
-    ids = row["referenced_documents"]
-    if not ids and len(found) == 1 and UNKNOWN not in row["answer"].lower():
-        ids = [found[0]["document_id"]]
-    return {"answer": row["answer"], "referenced_documents": ids}
+    row = retrieval.references(told, ids).first()
+    named = row["referenced_documents"]
+    if not named and n == 1 and UNKNOWN not in row["answer"].lower():
+        named = [found[0]["document_id"]]
+    return {"answer": row["answer"], "referenced_documents": named}
