@@ -1 +1 @@
-"""paperloom: a PySpark-native document-intelligence and corpus analytics engine."""
+"""paperloom: an analytics engine for papers, forms and text corpora on PySpark."""
