@@ -50,9 +50,10 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return probed.select(*[F.col(c) for c in rows.columns], bitmap_has(F.col("_bits"), F.col("_bit")).alias("maybe"))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int | None = None) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and returns the function for batches,
-    which returns columns by name. Memory holds one Arrow batch at a time."""
+    which returns columns by name. Memory holds one Arrow batch at a time, and what the function makes of `rows` of its rows
+    (None: of all); at the end of a task it is given back."""
     from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -60,9 +61,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows or b.num_rows)):
             if batch.num_rows:
                 out = work(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in target], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
