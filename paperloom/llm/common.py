@@ -61,7 +61,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows or b.num_rows)):
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows or max(1, b.num_rows))):
             if batch.num_rows:
                 out = work(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in target], schema=target)
