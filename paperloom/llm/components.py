@@ -2,7 +2,8 @@
 
 Each half step joins links with the smallest neighbour of a node; the smallest neighbours are written
 before they are joined, so that both sides are dealt anew and a node with very many links is split.
-Nothing but one counter a round reaches the driver."""
+Links of a large star are not made distinct: they are as many as before, and the small star does it.
+Only whether a node is left to join reaches the driver."""
 
 from __future__ import annotations
 
@@ -12,21 +13,23 @@ from pyspark.sql import functions as F
 from paperloom.scratch import discard, written
 
 
-def _star(links: DataFrame, step: str) -> DataFrame:
-    """links (u, v), distinct; step large: v > u links go to the least of u and its neighbours; small: the rest."""
-    if step == "large":
-        both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = written(least, "star-least")
-        joined = both.filter("v > u").join(least, "u")
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "star-least")
-        joined = down.join(least, "u")
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-    out = written(out.filter("u != v").distinct(), f"star-{step}")
-    discard(least, links)
+def _both(links: DataFrame) -> DataFrame:
+    return links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
+
+
+def _large_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    """The larger neighbours of every node, linked to the least of it and its neighbours; not distinct, as many as links."""
+    joined = _both(links).filter("v > u").join(least.select("u", F.least("u", "m").alias("m")), "u")
+    return written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), "star-large")
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """The smaller neighbours of every node, and the node, linked to the least of them; distinct."""
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")), "star-least")
+    joined = links.join(least, "u")
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+    out = written(out.filter("u != v").distinct(), "star-small")
+    discard(least)
     return out
 
 
@@ -34,14 +37,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (u, v); component is its smallest node. Nodes without a
     link are absent. Null ends are ignored."""
     now = written(links.filter("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star-links")
-    summed = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = summed(now)
-    while before[0]:
-        now = _star(_star(now, "large"), "small")
-        after = summed(now)
-        if after == before:
+    while True:
+        least = written(_both(now).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "star-least")
+        # Done when every node with a smaller neighbour has no other one: then every component is a star.
+        if least.filter("m < u and n > 1").isEmpty():
             break
-        before = after
+        large = _large_star(now, least)
+        discard(least, now)
+        now = _small_star(large)
+        discard(large)
+    discard(least)
     # At the end every link is from a node to the smallest node of its component.
     found = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct()), "components")
     discard(now)
