@@ -5,14 +5,18 @@ new: document_id, file_hash, perceptual_hash, seq. stored: the same. Hashes are
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
 from paperloom.scratch import written
 
-#: First digit and number of digits of each band: with at most 5 of 64 bits differing one of 6 bands is equal.
-BANDS = ((1, 3), (4, 3), (7, 3), (10, 3), (13, 2), (15, 2))
+#: Bytes of a hash that make one key: at most 5 of 64 bits differing leave 3 of 8 bytes equal, so one of the 56 keys of
+#: 24 bits is. Unlike hashes share a key with probability 56 / 2^24.
+BYTES, KEPT = 8, 3
+KEYS = tuple(combinations(range(BYTES), KEPT))
 
 
 def halves(h: Column) -> tuple[Column, Column]:
@@ -28,20 +32,21 @@ def valid(h: Column) -> Column:
     return h.rlike("^[0-9a-fA-F]{16}$")
 
 
-def _banded(df: DataFrame) -> DataFrame:
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("h", a, n).alias("part")) for i, (a, n) in enumerate(BANDS)])
-    return df.select("*", F.explode(bands).alias("k")).select("*", "k.band", "k.part").drop("k")
+def _keyed(df: DataFrame) -> DataFrame:
+    part = lambda i: F.substring("h", 2 * i + 1, 2)
+    keys = F.array(*[F.concat(F.lit(f"{at}:"), *[part(i) for i in key]) for at, key in enumerate(KEYS)])
+    return df.select("*", F.explode(keys).alias("key"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, distance: int = K.HASH_DISTANCE) -> DataFrame:
     """Distinct pairs of hashes (h, r, distance) of left (h) and right (h) within distance (at most 5). Equal hashes
     were made one before, so copies are not paired with each other."""
-    if distance > len(BANDS) - 1:
-        raise ValueError("six bands find at most 5 differing bits")
-    a = _banded(left.select("h").distinct())
-    b = _banded(right.select("h").distinct()).withColumnRenamed("h", "r")
+    if distance > BYTES - KEPT:
+        raise ValueError("keys of 3 in 8 bytes find at most 5 differing bits")
+    a = _keyed(left.select("h").distinct())
+    b = _keyed(right.select("h").distinct()).withColumnRenamed("h", "r")
     d = hamming(F.col("h"), F.col("r"))
-    return a.join(b, ["band", "part"]).filter(d <= distance).select("h", "r", d.alias("distance")).distinct()
+    return a.join(b, "key").filter(d <= distance).select("h", "r", d.alias("distance")).distinct()
 
 
 def find_duplicates(new: DataFrame, stored: DataFrame, distance: int = K.HASH_DISTANCE) -> DataFrame:
