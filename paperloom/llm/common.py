@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 32768  #: bits in one bitmap of bitmap_construct_agg
 BITS_PER_KEY = 16
 PROBE_BITS = 1 << 26  #: bits of a filter that is broadcast, at most: 8 MB
+WORD = r"[^\x20\x09-\x0D]+"  #: a word, in the patterns of Java, RE2 and Python
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,6 +30,13 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned crc32 of a text of ASCII characters."""
+    byte_list = f"list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    one_bit = "CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte_list}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: {one_bit})), 4294967295)"
+
+
 def bitmap_slot(buckets: int, key: str) -> tuple[Column, Column]:
     """Bitmap (bucket) of a key and its bit in there."""
     at = F.pmod(F.xxhash64(key), F.lit(buckets * BITMAP_BITS))
