@@ -192,7 +192,7 @@ def predicted(docs: DataFrame, model: Filter, *columns: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "score double"])
-    return map_batches(docs.select("text", *[c for c in columns if c != "text"]), make, schema)
+    return map_batches(docs.select("text", *[c for c in columns if c != "text"]), make, schema, rows=500)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, *, vocabulary: str | None = None, window: int = WIND
 
         return work
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=500)
 
 
 def packed(docs: DataFrame, *, window: int = WINDOW, **options) -> DataFrame:

@@ -179,7 +179,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
             extra.append([{"start": s, "end": e, "kind": k, "votes": votes(text, s, e, k), "slots": hashed_features(text, s, e)} for s, e, k in extra_candidates(text or "", own)])
         return {"doc_id": batch.column("doc_id"), "base": base, "extra": extra}
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), lambda: work, FOUND)
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), lambda: work, FOUND, rows=500)
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -323,4 +323,4 @@ def masked_text(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         return {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"text": [masked(t) for t in batch.column("text").to_pylist()]}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, lambda: work, schema)
+    return map_batches(docs, lambda: work, schema, rows=500)
