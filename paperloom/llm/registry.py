@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, line_quality, packing, periodic_runs, pii, quality, simhash, substring_dedup, toxicity
+from paperloom.llm import bpe, embedding_dedup, exact_dedup, language_id, line_quality, packing, periodic_runs, pii, prefix_trie, quality, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_line_quality": line_quality.op12_line_quality,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
@@ -25,6 +26,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op12_line_quality": line_quality.OP12_SQL,
         "op13_periodic_runs": periodic_runs.OP13_SQL,
     }
