@@ -65,5 +65,9 @@ GAP_DAYS, LARGE_GAP_DAYS, CLOCK_SKEW_DAYS = 1.0, 14.0, -0.01
 FONT_Z, FONT_Z_MEDIUM, FONT_Z_HIGH, FONT_STD_FLOOR, FONT_LEAST_HEIGHT, FONT_LEAST_WORDS = 2.0, 2.5, 3.5, 2.0, 6, 5
 STROKE_SAMPLE, STROKE_MEAN, STROKE_STD, STROKE_STD_FLOOR, STROKE_LEAST = 50, 2.5, 1.0, 0.8, 0.5
 SNIPPET_CHARS = 80
+RESAVE_QUALITY, RESAVE_LEVEL, RESAVE_PERCENT = 90, 25.0, 1.5
+STEP_CORNER, STEP_KNIGHT = 1.4, 2.1969  #: of distances in pictures
+LINE_JOIN, LEAST_PART = (30, 2), 300  #: width and height by which letters are joined to lines; pixels of a part that counts
+STROKE_LEAST_SIDE, FIELD_LEAST_SIDE = 6, 8
 NO_HASH = "0000000000000000"
 MASKED = "[masked — verification required]"

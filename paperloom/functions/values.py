@@ -71,6 +71,17 @@ def exif_date(value: Column) -> Column:
     return F.try_to_timestamp(strip(value), F.lit("yyyy:MM:dd HH:mm:ss"))
 
 
+ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)([+-]\d{2}:\d{2})?)?$"
+
+
+def iso_date(value: Column) -> Column:
+    """An ISO date or time as an instant. Z is an offset of zero, and so is none; null if the text is no such date."""
+    text = F.regexp_replace(strip(value), "Z", "+00:00")
+    day, time, offset = (F.regexp_extract(text, ISO, i) for i in (1, 2, 3))
+    time = F.when(time == "", "00:00:00").when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
+    return F.when(text.rlike(ISO), F.concat(day, F.lit("T"), time, F.when(offset == "", "+00:00").otherwise(offset)).try_cast("timestamp"))
+
+
 def mean4(total_units: Column, n: Column) -> Column:
     """Mean to 4 places, half up, from a sum in units of 0.0001: whole numbers, so order cannot change it."""
     return F.floor((2 * total_units + n) / (2 * n)) / 10000.0

@@ -1,4 +1,4 @@
-"""Image quality and perceptual hashes over grey or RGB pixels, and the roll-up of pages.
+"""Pages set straight and made smooth, their quality, hashes and strokes, and the roll-up of pages.
 
 images: document_id, page, height, width, channels, pixels (row-major bytes).
 """
@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
+from paperloom.operators import pixels
 
 
 def grey(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -50,15 +51,59 @@ def perceptual_hash(image: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-def _measure(pdfs):
-    for pdf in pdfs:
-        images = [grey(bytes(r.pixels), r.height, r.width, r.channels) for r in pdf.itertuples()]
-        yield pd.DataFrame({"document_id": pdf["document_id"], "page": pdf["page"], "blur_score": [laplacian_variance(i) for i in images], "perceptual_hash": [perceptual_hash(i) for i in images]})
-
-
-def page_measures(images: DataFrame) -> DataFrame:
-    """(document_id, page, blur_score, perceptual_hash)."""
-    return images.select("document_id", "page", "height", "width", "channels", "pixels").mapInPandas(_measure, "document_id string, page int, blur_score double, perceptual_hash string")
+MEASURES = "blur_score double, skew_angle double, skew_before double, perceptual_hash string, resave_mean double, resave_percent double"
+PREPARED = f"document_id string, page int, height int, width int, channels int, pixels binary, {MEASURES}"
+
+
+def measures(image: np.ndarray, page: int) -> dict:
+    """Of an RGB image. What a saving changes is looked for on first pages only, and null on others."""
+    flat = grey(image.tobytes(), *image.shape)
+    mean, percent = pixels.recompression_error(image) if page == 1 else (None, None)
+    return {"blur_score": laplacian_variance(flat), "skew_angle": pixels.skew_angle(flat), "perceptual_hash": perceptual_hash(flat), "resave_mean": mean, "resave_percent": percent}
+
+
+def prepared(images: DataFrame) -> DataFrame:
+    """images set straight by their skew and made smooth, with the measures of what comes out and the skew before. One pass, so that
+    pixels are neither read twice nor dealt; the measures alone are read without them."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for r in pdf.itertuples():
+                image = np.frombuffer(bytes(r.pixels), np.uint8).reshape(r.height, r.width, r.channels)
+                image = np.repeat(image[:, :, :1], 3, axis=2) if r.channels < 3 else image[:, :, :3]
+                before = pixels.skew_angle(grey(image.tobytes(), *image.shape)) if image.size else 0.0
+                image = pixels.bilateral(pixels.rotated(image, before)) if image.size else image
+                yield pd.DataFrame([{"document_id": r.document_id, "page": r.page, "height": image.shape[0], "width": image.shape[1], "channels": 3, "pixels": image.tobytes(), "skew_before": before} | measures(image, r.page)])[[c.split()[0] for c in PREPARED.split(", ")]]
+
+    return images.select("document_id", "page", "height", "width", "channels", "pixels").mapInPandas(run, PREPARED)
+
+
+def strokes(pages: DataFrame, words: DataFrame, fields: DataFrame) -> DataFrame:
+    """(document_id, name, stroke, stroke_mean, stroke_std) of fields (document_id, name, x, y, width, height) that are large enough and
+    begin on the picture, the first page of pages; mean and deviation are those of the first STROKE_SAMPLE words of the document,
+    whatever their page, and null where none of them has a stroke. Boxes are dealt to pictures by document, as lists."""
+    order = Window.partitionBy("document_id").orderBy("page", "word_idx")
+    first = words.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= K.STROKE_SAMPLE)
+    sample = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "width", "height"))).alias("sample"))
+    boxes = fields.filter(f"width >= {K.FIELD_LEAST_SIDE} and height >= {K.FIELD_LEAST_SIDE}").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("name", "x", "y", "width", "height"))).alias("boxes"))
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for r in pdf.itertuples():
+                image = grey(bytes(r.pixels), r.height, r.width, r.channels)
+                cut = lambda b: image[max(0, b["y"]) :, max(0, b["x"]) :][: b["height"], : b["width"]]  # noqa: B023, E731
+                inside = [b for b in (r.sample if r.sample is not None else ()) if min(b["width"], b["height"]) >= K.STROKE_LEAST_SIDE and max(0, b["x"]) + b["width"] <= r.width and max(0, b["y"]) + b["height"] <= r.height]
+                boxes = [b for b in r.boxes if max(0, b["x"]) < r.width and max(0, b["y"]) < r.height]
+                widths = pixels.stroke_widths([cut(b) for b in (*inside, *boxes)])
+                known = [s for s in widths[: len(inside)] if s > K.STROKE_LEAST]
+                mean, std = (float(np.mean(known)), float(np.std(known))) if known else (None, None)
+                found = [(r.document_id, b["name"], s, mean, std) for b, s in zip(boxes, widths[len(inside) :], strict=True)]
+                yield pd.DataFrame(found, columns=["document_id", "name", "stroke", "stroke_mean", "stroke_std"])
+
+    picture = pages.filter("page = 1").select("document_id", "height", "width", "channels", "pixels")
+    kind = fields.schema["document_id"].dataType.simpleString()
+    # Pictures are larger than Spark takes them to be: they are dealt and merged, never broadcast.
+    return picture.hint("merge").join(boxes.join(sample, "document_id", "left"), "document_id").mapInPandas(run, f"document_id {kind}, name string, stroke double, stroke_mean double, stroke_std double")
 
 
 def rollup(pages: DataFrame) -> DataFrame:

@@ -1,23 +1,25 @@
-"""Providers of pixels, words and model answers, with deterministic versions that need no network.
+"""Providers of pixels, words and model answers.
 
 A provider is a picklable object that workers call; what a library would be needed for and is not here
-raises Unavailable instead of guessing."""
+raises Unavailable instead of guessing. Whatever a provider raises, for one file or prompt, ends there: that file has no pages
+or no words, that prompt no answer, and the others go on."""
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import time
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from paperloom.operators import jpeg
+
 
 class Unavailable(RuntimeError):
     """A format or service for which no provider is configured."""
@@ -90,63 +92,19 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 
 @dataclass
-class OfflinePages:
-    """PNG and netpbm images; plain text is drawn as a page of bars, one a word. Other formats need a library."""
+class ImagePages:
+    """PNG, JPEG and netpbm pictures, one page each. Other formats need a library: pass a provider that has one."""
 
     def pages(self, kind: str, content: bytes) -> list[np.ndarray]:
         if content[:4] == b"\x89PNG":
             return [decode_png(content)]
+        if content[:2] == b"\xff\xd8":
+            return [jpeg.decoded(content)]
         if content[:2] in (b"P5", b"P6"):
             return [decode_netpbm(content)]
-        if kind == "txt":
-            words = TextWords().words(kind, content)
-            out = []
-            for page in range(1, max((w["page"] for w in words), default=1) + 1):
-                image = np.full((820, 1000, 3), 255, np.uint8)
-                for w in words:
-                    if w["page"] == page:
-                        image[w["y"] : w["y"] + w["height"] : 2, w["x"] : w["x"] + w["width"]] = 0
-                out.append(image)
-            return out
         raise Unavailable(f"no renderer for {kind} files is configured")
 
 
-@dataclass
-class TextWords:
-    """Words of plain text with boxes made from their places; 40 lines are a page. Other files need recognition."""
-
-    confidence: float = 95.0
-
-    def words(self, kind: str, content: bytes) -> list[dict]:
-        if kind != "txt":
-            raise Unavailable(f"no recogniser for {kind} files is configured")
-        out = []
-        for i, line in enumerate(content.decode("utf-8", "replace").split("\n")):
-            x = 10
-            for text in line.split():
-                out.append({"page": 1 + i // 40, "word_idx": len(out), "text": text, "confidence": self.confidence, "x": x, "y": 10 + 20 * (i % 40), "width": 8 * len(text), "height": 12, "block_num": 0, "par_num": 0, "line_num": i})
-                x += 8 * len(text) + 8
-        return out
-
-
-@dataclass
-class LabelModel:
-    """Answers by rule: the type by words of the text, fields by lines of the form 'label: value'."""
-
-    words: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"invoice": ("invoice",), "payslip": ("payslip", "net pay"), "id_proof": ("passport", "identity"), "bank_statement": ("statement", "iban")})
-
-    def complete(self, prompt: str) -> str:
-        head, _, text = prompt.partition("\n\n")
-        if head.startswith("Name the type"):
-            low = text.lower()
-            return next((t for t, words in self.words.items() if any(w in low for w in words)), "other")
-        if "give how surely" in head:
-            return json.dumps({line.split(": ")[0]: 0.9 for line in head.split("\n")[2:] if ": " in line})
-        fields = {re.sub(r"\W+", "_", k.strip().lower()).strip("_"): v.strip() for k, v in re.findall(r"^([A-Za-z][\w ]{0,40}):[ \t]*(.*)$", text, re.M)}
-        rows = [dict(zip(("description", "amount"), r, strict=True)) for r in re.findall(r"^\* (.+?) \| (.+)$", text, re.M)]
-        return json.dumps({"fields": {k: v or None for k, v in fields.items()}, "tables": [{"table_name": "line_items", "rows": rows}] if rows else []})
-
-
 @dataclass
 class Fallback:
     """Models in order: one that fails is followed by a pause and the next, an empty answer by the next at once."""
@@ -196,7 +154,7 @@ def read_words(files: DataFrame, provider: WordProvider) -> DataFrame:
             for row in pdf.itertuples():
                 try:
                     words = provider.words(row.kind, bytes(row.content))
-                except Unavailable:
+                except Exception:  # noqa: BLE001  a recogniser that fails
                     words = []
                 if words:
                     out = pd.DataFrame(words)[names]
@@ -219,7 +177,7 @@ def ask(prompts: DataFrame, provider: ModelProvider, tries: int = 1, good=None)
                 for _ in range(tries):
                     try:
                         raw = provider.complete(prompt)
-                    except Unavailable:
+                    except Exception:  # noqa: BLE001  a service that fails
                         raw = None
                     if raw is not None and (good is None or good(raw)):
                         break
