@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from paperloom.plans import document_queries, review_queries, value_queries  # noqa: F401
+    from paperloom.plans import document_queries, picture_queries, review_queries, value_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

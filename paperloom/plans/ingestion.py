@@ -8,42 +8,33 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.operators import checks, dedup, extraction, grounding, layout, pixels, privacy, quality, review, scoring
-from paperloom.operators.quality import grey
-from paperloom.operators.store import Store
+from paperloom.operators import checks, dedup, extraction, grounding, layout, privacy, quality, review, scoring
+from paperloom.operators.store import Store, stamped
 from paperloom.scratch import written
 from paperloom.sources import files as sources
-from paperloom.sources.providers import LabelModel, ModelProvider, OfflinePages, PageProvider, TextWords, WordProvider, ask, read_pages, read_words
+from paperloom.sources.providers import ImagePages, ModelProvider, PageProvider, WordProvider, ask, read_pages, read_words
 
 BOX = "struct<page:int,x:int,y:int,width:int,height:int>"
 RESULT = (
     "document_id string, doc_type string, upload_timestamp string, original_filename string, "
     f"extracted_fields array<struct<pos:int,name:string,value:string,field_type:string,raw_ocr_text:string,bbox:{BOX},confidence:struct<ocr_confidence:double,llm_confidence:double,rule_check_passed:boolean,combined_score:double,bucket:string>,is_masked:boolean>>, "
     "tables array<struct<table_idx:int,table_name:string,row_index:int,col_name:string,value:string,confidence:double>>, "
-    "cross_checks array<struct<check_name:string,passed:boolean,detail:string>>, tamper_flags array<struct<flag_type:string,affected_field:string,evidence:string,severity:string>>, "
+    "cross_checks array<struct<check_name:string,fields_compared:array<string>,expected_relationship:string,passed:boolean,detail:string,discrepancy:string>>, tamper_flags array<struct<flag_type:string,affected_field:string,evidence:string,severity:string>>, "
     "is_confidential boolean, sensitivity_level string, overall_status string"
 )
 
 
 @dataclass
 class Providers:
-    pages: PageProvider = field(default_factory=OfflinePages)
-    words: WordProvider = field(default_factory=TextWords)
-    model: ModelProvider = field(default_factory=LabelModel)
+    """What recognises words and what answers prompts are services to be named; pictures are read by the library."""
 
-
-def _skews(images: DataFrame) -> DataFrame:
-    def run(pdfs):
-        for pdf in pdfs:
-            angles = [pixels.skew_angle(grey(bytes(r.pixels), r.height, r.width, r.channels)) for r in pdf.itertuples()]
-            yield pd.DataFrame({"document_id": pdf["document_id"], "page": pdf["page"], "skew_angle": angles})
-
-    return images.mapInPandas(run, "document_id string, page int, skew_angle double")
+    words: WordProvider
+    model: ModelProvider
+    pages: PageProvider = field(default_factory=ImagePages)
 
 
 def _nested(df: DataFrame, name: str, columns: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -66,14 +57,14 @@ def numbered(rows: DataFrame, order: list[str], store: Store, batch: int) -> Dat
     return ranged.join(F.broadcast(offsets), "range").withColumn("seq", F.col("before") + own).drop("range", "before")
 
 
-def process(files: DataFrame, store: Store, batch: int, providers: Providers | None = None) -> DataFrame:
+def process(files: DataFrame, store: Store, batch: int, providers: Providers) -> DataFrame:
     """Ingest files (as sources.files gives them) as one batch; returns (document_id, outcome) of every file, where
     outcome is unreadable (no decoder gave a page), rejected, duplicate or the review status. A batch may run again: it
     gives the same rows, whatever an earlier try has written."""
-    p = providers or Providers()
+    p = providers
     files = written(files.dropDuplicates(["document_id"]), "files")
-    images = written(read_pages(files, p.pages), "pages")
-    measured = written(quality.page_measures(images).join(_skews(images), ["document_id", "page"]), "measures")
+    pages = written(quality.prepared(read_pages(files, p.pages)), "pages")
+    measured = pages.drop("height", "width", "channels", "pixels")
     rated = quality.rollup(measured)
     first_hash = measured.filter("page = 1").select("document_id", "perceptual_hash")
     meta = files.select("document_id", "original_filename", "file_hash_sha256", "upload_timestamp", "kind").join(first_hash, "document_id", "left").join(rated.select("document_id", "status"), "document_id", "left")
@@ -116,7 +107,10 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers | N
     cell_scores = scoring.score_cells(located.join(grounding.field_confidence(boxed.select("document_id", "name", "page", "x", "y", "width", "height"), words), key, "left"))
 
     tests = checks.cross_checks(typed.select("document_id", "doc_type"), fields, cells)
-    flags = checks.metadata_flags(sources.metadata(accepted)).unionByName(checks.font_flags(scored.filter("page is not null"), words))
+    boxes = scored.filter("page is not null")
+    strokes = quality.strokes(pages.join(kept.select("document_id"), "document_id", "left_semi"), words, boxes)
+    flags = checks.metadata_flags(sources.metadata(accepted)).unionByName(checks.recompression_flags(measured.join(kept.select("document_id"), "document_id", "left_semi")))
+    flags = written(flags.unionByName(checks.font_flags(boxes, words, strokes)), "flags")
     secret = privacy.classify(fields.select("document_id", "doc_type", "pos", "name", "value", "field_type"))
     corrected = review.overlay(scored.select("document_id", "pos", "name", "value", F.col("confidence.combined_score").alias("combined_score"), F.col("confidence.bucket").alias("bucket")), store.read("corrections"))
     status = review.review_status(kept.withColumn("quality_status", F.lit("ok")), corrected, tests, flags)
@@ -127,7 +121,7 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers | N
     parts = [
         _nested(final, "extracted_fields", ("pos", "name", "value", "field_type", "raw_ocr_text", "bbox", "confidence", "is_masked"), ("pos",)),
         _nested(cell_scores, "tables", ("table_idx", "table_name", "row_index", "col_name", "value", "confidence"), ("table_idx", "row_index", "col_pos")),
-        _nested(tests, "cross_checks", ("check_name", "passed", "detail"), ("check_name",)),
+        _nested(tests, "cross_checks", checks.RECORD, ("check_name",)),
         _nested(flags, "tamper_flags", ("flag_type", "affected_field", "evidence", "severity"), ("flag_type", "affected_field", "evidence")),
         secret.select("document_id", "is_confidential", "sensitivity_level"),
         status,
@@ -138,8 +132,7 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers | N
     columns = [f.name for f in T.StructType.fromDDL(RESULT).fields]
     result = written(result.select("document_id", "file_hash_sha256", "perceptual_hash", "upload_timestamp", "doc_type", "seq", "overall_status", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("full_result_json")), "results")
     uploaded = result.select("document_id", F.lit("document_uploaded").alias("action"), F.lit("system").alias("actor"), F.col("upload_timestamp").alias("timestamp"), F.col("doc_type").alias("detail"), "seq")
-    # A try that ends between the two is made good by the next one, which writes both again.
-    store.record(review.audit_once(uploaded, store.read("audit_log", batch), "document_uploaded"), batch, "uploaded")
-    store.append("documents", result, batch)
+    events = stamped(review.audit_once(uploaded, store.read("audit_log", batch), "document_uploaded"))
+    store.commit({"audit_log": events, "documents": result}, batch, "uploaded")
     outcome = F.when(F.col("status") == "unreadable", "unreadable").when(F.col("status") != "ok", "rejected").otherwise(F.coalesce("overall_status", F.lit("duplicate")))
     return meta.join(result.select("document_id", "overall_status"), "document_id", "left").select("document_id", "original_filename", outcome.alias("outcome"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
@@ -278,3 +279,42 @@ def reference_names(spark, d):
     e = table(spark, d, "events").withColumn("document_id", F.concat(F.col("user_id").cast("string"), F.lit("-document")))
     held = e.filter("user_id % 2 = 0").select("document_id", F.concat(F.col("user_id").cast("string"), F.lit(".pdf")).alias("original_filename"), F.col("event_id").alias("seq"))
     return display.reference_names(e.select(F.col("event_id").alias("answer_id"), "document_id"), held)
+
+
+APPLIED_SQL = """
+lines AS (SELECT l_orderkey AS document_id, (['status', 'priority', 'total', 'other'])[CAST(l_linenumber % 4 AS INT) + 1] AS field_name, trim(' v' || l_partkey || ' ') AS v,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem WHERE l_orderkey % 2 = 0),
+last AS (SELECT document_id, field_name, arg_max(v, seq) AS v FROM lines GROUP BY 1, 2),
+f AS (SELECT o_orderkey AS document_id, name, value, score, CASE WHEN score >= 0.75 THEN 'green' WHEN score >= 0.4 THEN 'amber' ELSE 'red' END AS bucket, o_orderkey % 11 = 0 AS failed, o_orderkey % 13 = 0 AS high
+  FROM orders, LATERAL (VALUES ('status', o_orderstatus, 0.9), ('priority', o_orderpriority, (o_orderkey % 10) / 10.0), ('total', CAST(o_orderkey AS VARCHAR), 0.5)) t(name, value, score)),
+g AS (SELECT f.document_id, name, coalesce(v, value) AS value, CASE WHEN v IS NULL THEN score ELSE 1.0 END AS combined_score, CASE WHEN v IS NULL THEN bucket ELSE 'green' END AS bucket, failed, high FROM f LEFT JOIN last ON last.document_id = f.document_id AND field_name = name
+  WHERE f.document_id IN (SELECT document_id FROM last))
+"""
+
+
+@register("applied_corrections", f"""WITH {APPLIED_SQL},
+s AS (SELECT document_id, CASE WHEN bool_or(bucket = 'red') OR any_value(failed) OR any_value(high) THEN 'needs_review' ELSE 'auto_accepted' END AS overall_status FROM g GROUP BY 1)
+SELECT document_id, name, value, combined_score, bucket, overall_status FROM g JOIN s USING (document_id)""")
+def applied_corrections(spark, d):
+    """Orders as stored results of three fields, lines of every second order as corrections: the last of each field is its value, and the
+    status is judged anew."""
+    key = F.col("o_orderkey")
+    part = lambda n, v, s: F.struct(F.lit(n).alias("name"), v.alias("value"), F.struct(s.alias("combined_score"), bucket(s).alias("bucket")).alias("confidence"))
+    fields = F.array(part("status", F.col("o_orderstatus"), F.lit(0.9)), part("priority", F.col("o_orderpriority"), (key % 10) / 10.0), part("total", key.cast("string"), F.lit(0.5)))
+    result = F.struct(fields.alias("extracted_fields"), F.array(F.struct((key % 11 != 0).alias("passed"))).alias("cross_checks"), F.array(F.struct(F.when(key % 13 == 0, "High").otherwise("low").alias("severity"))).alias("tamper_flags"), F.lit("").alias("overall_status"))
+    results = table(spark, d, "orders").select(key.alias("document_id"), result.alias("r"))
+    names = F.array(*[F.lit(n) for n in ("status", "priority", "total", "other")])
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    made = table(spark, d, "lineitem").filter("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("document_id"), F.element_at(names, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("field_name"), F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("corrected_value"), order.alias("seq"))
+    done = store.applied_corrections(results, made)
+    return done.select("document_id", F.explode("result.extracted_fields").alias("f"), F.col("result.overall_status").alias("overall_status")).select("document_id", "f.name", "f.value", "f.confidence.combined_score", "f.confidence.bucket", "overall_status")
+
+
+@register("session_corrections", """
+SELECT user_id AS document_id, (['vendor_name', 'iban', 'segment', 'unknown_field'])[CAST(event_id % 4 AS INT) + 1] AS field_name, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'old ' || event_id END AS original_value,
+  'new ' || event_id AS corrected_value, CASE event_id % 4 WHEN 0 THEN 'Ann' ELSE 'Reviewer' END AS corrected_by, strftime(ts, '%Y-%m-%d %H:%M:%S') AS corrected_at, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events
+""")
+def session_corrections(spark, d):
+    """Corrections of every document as they are shown, with the place of each among those of its document."""
+    made = corrections_of(spark, d).withColumn("original_value", F.when(F.col("seq") % 3 != 0, F.col("original_value"))).withColumn("corrected_by", F.when(F.col("seq") % 4 == 0, "Ann").when(F.col("seq") % 4 == 1, ""))
+    return store.session_corrections(made).withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("seq")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
 from paperloom.functions.scores import cell_score, combine, crop, is_personal, word_colour
 from paperloom.functions.text import doc_type_label, expected_type, infer_type, mask_value, nullish, snippet
-from paperloom.functions.values import exif_date, mean4, parse_amount, parse_date, pdf_date, rule_passed, units
+from paperloom.functions.values import exif_date, iso_date, mean4, parse_amount, parse_date, pdf_date, rule_passed, units
 from paperloom.operators import checks
 from paperloom.plans.catalog import register, table
 
@@ -82,10 +83,16 @@ UNION ALL SELECT document_id, 'issue_date_vs_expiry_date_chronology', document_i
 """)
 def cross_checks_dispatch(spark, d):
     """Each order as a document of one of five types with fields and a table, through the checks of its type."""
+    return checks.cross_checks(*papers(spark, d)).select("document_id", "check_name", "passed", "detail")
+
+
+def papers(spark, d, off: float = 0.0):
+    """Orders as documents, their fields and their cells; stated amounts are off by up to three times `off`."""
     kinds = F.element_at(F.array(*[F.lit(k) for k in K.DOC_TYPES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), kinds.alias("doc_type"), F.col("o_orderdate").cast("date").alias("day"))
     lines = table(spark, d, "lineitem")
     sums = lines.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.round(F.sum(F.col("l_extendedprice").cast(checks.MONEY)), 0).alias("stated"))
+    sums = sums.withColumn("stated", F.col("stated") + (F.col("document_id") % 7 - 3) * F.lit(off).cast(checks.MONEY))
     stated = F.col("stated").cast("string")
     pairs = docs.join(sums, "document_id", "left").select("document_id", F.explode(F.array(
         F.struct(F.lit("total_amount").alias("name"), stated.alias("value")),
@@ -95,9 +102,46 @@ def cross_checks_dispatch(spark, d):
         F.struct(F.lit("expiry_date").alias("name"), F.date_format(F.date_add("day", F.when(F.col("document_id") % 3 == 0, -1).otherwise(365)), "MMM d, yyyy").alias("value")),
     )).alias("f")).select("document_id", "f.name", "f.value")
     named = F.when(F.col("l_orderkey") % 5 == 1, "Deductions").otherwise("line_items")
-    row = F.monotonically_increasing_id()
+    # Rows of a table by number: lines of an order may repeat in every column, so equal ones are numbered too.
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     cells = lines.select(F.col("l_orderkey").alias("document_id"), F.lit(0).alias("table_idx"), named.alias("table_name"), row.alias("row_index"), F.lit("amount").alias("col_name"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"))
-    return checks.cross_checks(docs, pairs, cells)
+    return docs, pairs, cells
+
+
+@register("check_records", f"""
+WITH d AS ({INVOICE_FIELDS}),
+items AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS s FROM lineitem GROUP BY 1),
+t AS (SELECT d.*, s, CAST(s AS DECIMAL(28,2)) AS s2, round(s, 0) + (document_id % 7 - 3) * CAST(0.75 AS DECIMAL(28,6)) AS stated FROM d LEFT JOIN items ON document_id = l_orderkey),
+sums AS (SELECT document_id, 'line_items_sum_vs_total' AS check_name, 'line_items.amount,total_amount' AS fields_compared, 'the sum of line_items.amount is total_amount, give or take 1.00' AS expected_relationship, s IS NOT NULL AS known,
+  round(abs(round(s, 2) - stated), 2) AS diff, 'sum differs from total' AS failure, 'items add up to ' || s2 || ', total_amount is ' || CAST(stated AS DECIMAL(28,2)) AS figures FROM t WHERE doc_type = 'invoice'
+UNION ALL SELECT document_id, 'deductions_vs_net_pay', 'gross_pay,deductions.amount,net_pay', 'gross_pay less the sum of deductions is net_pay, give or take 1.00', s IS NOT NULL,
+  round(abs(round(stated - s, 2) - stated), 2), 'gross less deductions differs from net', 'gross_pay less deductions is ' || CAST(round(stated - s, 2) AS DECIMAL(28,2)) || ', net_pay is ' || CAST(stated AS DECIMAL(28,2)) FROM t WHERE doc_type = 'payslip')
+SELECT document_id, check_name, fields_compared, expected_relationship, NOT known OR diff <= 1.0 AS passed, CASE WHEN NOT known THEN 'skipped' WHEN diff <= 1.0 THEN 'ok' ELSE failure END AS detail,
+  CASE WHEN NOT known THEN 'skipped: fields are missing or cannot be read' WHEN diff > 1.0 THEN figures || ': ' || CAST(diff AS DECIMAL(28,2)) || ' apart' END AS discrepancy FROM sums
+UNION ALL SELECT document_id, 'issue_date_vs_expiry_date_chronology', 'issue_date,expiry_date', 'expiry_date is not before issue_date', document_id % 3 <> 0, CASE WHEN document_id % 3 <> 0 THEN 'ok' ELSE 'end is before start' END,
+  CASE WHEN document_id % 3 = 0 THEN 'expiry_date ' || CAST(CAST(o_orderdate AS DATE) - 1 AS VARCHAR) || ' is before issue_date ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END FROM t
+""")
+def check_records(spark, d):
+    """As cross_checks_dispatch, with totals that are off by up to 2.25: the whole records, with what is compared and by how much it fails."""
+    return checks.cross_checks(*papers(spark, d, 0.75)).withColumn("fields_compared", F.array_join("fields_compared", ","))
+
+
+ISO_TEXTS = "CASE o_orderkey % 8 WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+05:30') WHEN 2 THEN strftime(t, '%Y-%m-%d') WHEN 3 THEN strftime(t, '%Y-%m-%d %H:%M:%S') WHEN 4 THEN strftime(t, '%Y-%m-%dT%H:%M:%S.250000-08:00') WHEN 5 THEN strftime(t, '%Y-%m-%dT%H:%M') WHEN 6 THEN strftime(t, '%d/%m/%Y') ELSE '' END"
+
+
+@register("iso_dates", f"""
+WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 977 % 86400) AS t FROM orders),
+x AS (SELECT o_orderkey, {ISO_TEXTS} AS s FROM t)
+SELECT o_orderkey AS id, s AS iso_text, CASE WHEN o_orderkey % 8 < 6 THEN epoch_us(CAST(CASE o_orderkey % 8 WHEN 2 THEN s || ' 00:00:00+00:00' WHEN 3 THEN s || '+00:00' WHEN 5 THEN s || ':00+00:00' ELSE s END AS TIMESTAMPTZ)) END AS micros FROM x
+""")
+def iso_dates(spark, d):
+    """Times with Z, with offsets, without either (UTC), dates alone, and texts that are none."""
+    k = F.col("o_orderkey")
+    t = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k * 977 % 86400 * 1_000_000)
+    form = lambda f: F.date_format(t, f)
+    text = F.when(k % 8 == 0, form("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 8 == 1, form("yyyy-MM-dd'T'HH:mm:ss'+05:30'")).when(k % 8 == 2, form("yyyy-MM-dd")).when(k % 8 == 3, form("yyyy-MM-dd HH:mm:ss"))
+    text = text.when(k % 8 == 4, form("yyyy-MM-dd'T'HH:mm:ss'.250000-08:00'")).when(k % 8 == 5, form("yyyy-MM-dd'T'HH:mm")).when(k % 8 == 6, form("dd/MM/yyyy")).otherwise("")
+    return table(spark, d, "orders").select(k.alias("id"), text.alias("iso_text")).withColumn("micros", F.unix_micros(iso_date(F.col("iso_text"))))
 
 
 @register("parse_amount", """
