@@ -16,7 +16,7 @@ from paperloom.plans.ingestion import Providers, process
 from paperloom.sources.files import GLOB, scan_stream
 
 
-def start(spark: SparkSession, path: str, store: Store, checkpoint: str, *, providers: Providers | None = None, glob: str = GLOB, files_per_batch: int = 1000, **trigger) -> StreamingQuery:
+def start(spark: SparkSession, path: str, store: Store, checkpoint: str, *, providers: Providers, glob: str = GLOB, files_per_batch: int = 1000, **trigger) -> StreamingQuery:
     """trigger: as of DataStreamWriter.trigger; by default all that is there, then stop."""
 
     def ingest(batch_df, batch_id: int) -> None:

@@ -8,6 +8,8 @@ from paperloom.operators.store import Store
 from paperloom.plans import ingestion
 from paperloom.sources import files as sources
 
+from tests import stand_ins
+
 BODIES = {"a.txt": "INVOICE\nVendor Name: ACME\nTotal Amount: 99999999999999999999999999\n* bolts | 100.00\n", "b.txt": "Payslip\nGross Pay: 5\n", "c.txt": "Hi all\n", "d.txt": "Ho all\n"}
 
 
@@ -26,11 +28,11 @@ def state(store):
 
 def test_a_batch_twice_is_a_batch_once(spark, tmp_path, scanned, monkeypatch):
     store = Store(spark, str(tmp_path / "store"))
-    outcome = {r["original_filename"]: r["outcome"] for r in ingestion.process(scanned, store, 1).collect()}
+    outcome = {r["original_filename"]: r["outcome"] for r in ingestion.process(scanned, store, 1, stand_ins.providers()).collect()}
     assert outcome["f.jpg"] == "unreadable" and outcome["c.txt"] == outcome["d.txt"] == "auto_accepted" and "rejected" not in outcome.values()
     once = state(store)
     assert len(once[0]) == len(once[1]) == 4
-    ingestion.process(scanned, store, 1).collect()
+    ingestion.process(scanned, store, 1, stand_ins.providers()).collect()
     assert state(store) == once
     # A try that fails between its two writes, then one that does not.
     other, append = Store(spark, str(tmp_path / "other")), Store.append
@@ -42,13 +44,13 @@ def test_a_batch_twice_is_a_batch_once(spark, tmp_path, scanned, monkeypatch):
 
     monkeypatch.setattr(Store, "append", fails)
     with pytest.raises(OSError, match="lost"):
-        ingestion.process(scanned, other, 1)
+        ingestion.process(scanned, other, 1, stand_ins.providers())
     monkeypatch.setattr(Store, "append", append)
-    ingestion.process(scanned, other, 1).collect()
+    ingestion.process(scanned, other, 1, stand_ins.providers()).collect()
     assert state(other) == once
     # Another run that counts from 1 again finds the stored documents and overwrites none.
     again = Store(spark, store.root, run="later")
-    assert {r["outcome"] for r in ingestion.process(scanned, again, 1).collect()} == {"duplicate", "unreadable"} and state(store) == once
+    assert {r["outcome"] for r in ingestion.process(scanned, again, 1, stand_ins.providers()).collect()} == {"duplicate", "unreadable"} and state(store) == once
 
 
 def test_events_of_a_batch_do_not_replace_each_other(spark, tmp_path):
