@@ -14,7 +14,8 @@ form one class and are counted, not joined pair by pair.
 
 Vectors that are null, empty, all zero or hold a null or a component that is not finite, and vectors without a
 label, link with nothing: n_links 0, their own component. Vectors of different lengths never link. Repeated
-vec_ids are treated as separate rows of one id. An empty table gives no rows; further columns are ignored, whatever their
+vec_ids are separate rows of one id, each with the links of its own vector. Rows with a null vec_id link like others and are counted, but
+name no component; one without links to rows that have an id has a null component and is kept. An empty table gives no rows; further columns are ignored, whatever their
 names.
 """
 
@@ -84,7 +85,7 @@ def sketches(vectors: np.ndarray, seed: int) -> np.ndarray:
 
 
 def candidates(classes: DataFrame, tables: int, projections: int, width: float, seed: int) -> DataFrame:
-    """Pairs (u, v) of classes (rep, label, embedding) of one label and length that share a key and most of their signs."""
+    """Pairs (u, v) of classes (node, label, embedding) of one label and length that share a key and most of their signs."""
 
     def work(batch):
         keys, signs, size = np.zeros((batch.num_rows, tables), np.int32), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
@@ -92,12 +93,12 @@ def candidates(classes: DataFrame, tables: int, projections: int, width: float,
             x = unit(x)
             keys[rows], signs[rows], size[rows] = table_keys(x, tables, projections, width, seed), sketches(x, seed), x.shape[1]
         each = np.repeat(np.arange(batch.num_rows), tables)
-        return {"label": batch.column("label").take(pa.array(each)), "t": np.tile(np.arange(tables, dtype=np.int32), batch.num_rows), "key": keys.ravel(), "size": size[each], "rep": batch.column("rep").to_numpy()[each], "signs": signs[each]}
+        return {"label": batch.column("label").take(pa.array(each)), "t": np.tile(np.arange(tables, dtype=np.int32), batch.num_rows), "key": keys.ravel(), "size": size[each], "node": batch.column("node").take(pa.array(each)), "signs": signs[each]}
 
     label = classes.schema["label"].dataType.simpleString()
-    keyed = map_batches(classes.select("rep", "label", "embedding"), lambda: work, f"label {label}, t int, key int, size int, rep long, signs long")
+    keyed = map_batches(classes.select("node", "label", "embedding"), lambda: work, f"label {label}, t int, key int, size int, node binary, signs long")
     shared = ["label", "t", "key", "size"]
-    a, b = (keyed.select(*shared, F.col("rep").alias(x), F.col("signs").alias(f"{x}_signs")) for x in "uv")
+    a, b = (keyed.select(*shared, F.col("node").alias(x), F.col("signs").alias(f"{x}_signs")) for x in "uv")
     near = F.bit_count(F.col("u_signs").bitwiseXOR(F.col("v_signs"))) <= SKETCH_BITS
     return a.join(b, shared).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
@@ -110,34 +111,36 @@ def linked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
         left, right = stacked(batch.column("a")), stacked(batch.column("b"))
         for n, (rows, x) in left.items():
             keep[rows] = np.einsum("ij,ij->i", unit(x), unit(right[n][1])) >= cosine
-        return {c: batch.column(c).to_numpy()[keep] for c in ("u", "v", "n_u", "n_v")}
+        return {c: batch.column(c).filter(pa.array(keep)) for c in ("u", "v", "n_u", "n_v")}
 
-    own = lambda x, e: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("embedding").alias(e))
-    return map_batches(pairs.join(own("u", "a"), "u").join(own("v", "b"), "v"), lambda: work, "u long, v long, n_u long, n_v long")
+    own = lambda x, e: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("embedding").alias(e))
+    return map_batches(pairs.join(own("u", "a"), "u").join(own("v", "b"), "v"), lambda: work, "u binary, v binary, n_u long, n_v long")
 
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, recall: float = RECALL, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    digest = F.when(usable, F.md5(F.concat_ws("/", F.col("label").cast("string"), F.col("embedding").cast("string"))))
-    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", digest.alias("digest")), "vectors")
-    # Rows of a digest are equal; the first of any of them has the vector.
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    classes = written(classes.filter("rep is not null"), "vector-classes")
+    # Equal vectors of one label are a node, known by its digest: rows of one id may have several vectors, and an id may be null.
+    node = F.when(usable, F.unhex(F.md5(F.concat_ws("/", F.col("label").cast("string"), F.col("embedding").cast("string")))))
+    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", node.alias("node")), "vectors")
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    classes = written(classes, "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     tables, projections = key_sizes(largest, cosine, recall, width)
     pairs = written(candidates(classes, tables, projections, width, seed), "vector-pairs")
     links = written(linked(pairs, classes, cosine), "vector-links")
     discard(pairs)
     found = components(links)
-    sides = links.selectExpr("u rep", "n_v n").union(links.selectExpr("v rep", "n_u n"))
-    degree = sides.groupBy("rep").agg(F.sum("n").alias("outside"))
-    named = classes.select("digest", "rep", "n").join(degree, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("digest", (F.col("n") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = written(named, "vector-named")
-    discard(classes, links, found)
-    out = rows.select("vec_id", "digest").join(named, "digest", "left")
+    sides = links.selectExpr("u node", "n_v n").union(links.selectExpr("v node", "n_u n"))
+    degree = sides.groupBy("node").agg(F.sum("n").alias("outside"))
+    named = classes.select("node", "rep", "n").join(degree, "node", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named.select("node", "component", "rep", (F.col("n") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links")), "vector-named")
+    # A component is named by the smallest id in it.
+    least = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "vector-least")
+    named = written(named.join(least, "component").select("node", "n_links", "component_id"), "vector-links-of-nodes")
+    discard(classes, links, found, least)
+    out = rows.select("vec_id", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

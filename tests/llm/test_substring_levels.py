@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from paperloom.llm import substring_dedup as S
@@ -50,3 +51,44 @@ def test_equals_brute_force(spark, monkeypatch, length, seed_words, hot):
 
 def test_levels_double():
     assert S.levels(13, 4) == [8] and S.levels(50, 4) == [8, 16] and S.levels(100, 4) == [8, 16, 32] and S.levels(4, 4) == []
+
+
+def test_windows_that_share_their_beginning_are_told_apart(spark):
+    """Two windows of 13 words that share eight words, their anchor and 32 bits of their hash are different all the same."""
+    rng, n = np.random.default_rng(3), 400_000
+    # A beginning that holds the least hash of four words of nearly every window.
+    at = np.arange(5)
+    start = next(w for w in ([f"s{k}x{i}".encode() for i in range(8)] for k in range(10_000)) if S.Ranges(S.word_hashes(w)).get(at, at + 4).min() < 1 << 57)
+    pool = [f"w{i}".encode() for i in range(3000)]
+    h = np.concatenate((np.tile(S.word_hashes(start), (n, 1)), S.word_hashes(pool)[chosen := rng.integers(0, len(pool), (n, 5))]), axis=1)
+    power, _ = S.Ranges._tables(1, 14)
+    with np.errstate(over="ignore"):
+        x = (h * power[:13]).sum(axis=1, dtype=np.uint64)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+    high = (x >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(high, kind="stable")
+    pairs = [(int(a), int(b)) for a, b in zip(order, order[1:], strict=False) if high[a] == high[b] and (chosen[a] != chosen[b]).any()]
+    texts = [[(b" ".join(start + [pool[k] for k in chosen[i]])).decode() for i in pair] for pair in pairs]
+    # Those whose anchor is within the shared words are what one key for windows of 32 bits took for equal.
+    alike = [(a, b) for a, b in texts if S.Anchors(S.word_hashes(S.words(a)), 13, 4).offset[0] == S.Anchors(S.word_hashes(S.words(b)), 13, 4).offset[0] <= 4]
+    assert alike
+    rows = [(2 * k + i, t) for k, pair in enumerate(alike) for i, t in enumerate(pair)]
+    assert {r["n_removed"] for r in S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_query_equals_sql(spark):
+    import os
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = con.execute(S.OP6_SQL)
+    names = [c[0] for c in found.description]
+    want = sorted(tuple(dict(zip(names, r, strict=True))[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in found.fetchall())
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in S.op6_substring_dedup(spark, folder).collect()) == want

@@ -37,3 +37,17 @@ def test_keys_grow_slowly_with_the_rows():
     assert E.key_sizes(1000)[1] == 8
     sizes = [E.key_sizes(10**k) for k in range(3, 10)]
     assert all(a[0] <= b[0] and a[1] <= b[1] for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[-1][0] < 120
+
+
+def test_rows_of_one_id_and_rows_without_one(spark):
+    a, b = np.zeros(16), np.zeros(16)
+    a[0] = b[1] = 1.0
+    near = a.copy()
+    near[2] = 0.05
+    rows = [(1, a.tolist(), 1), (1, b.tolist(), 1), (2, near.tolist(), 1)]
+    got = E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    # A null id counts as a partner, and names no component.
+    rows = [(None, a.tolist(), 1), (5, near.tolist(), 1), (4, a.tolist(), 1), (None, b.tolist(), 1), (None, [0.0] * 16, 1)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, 4, False), (5, 2, 4, False), (4, 2, 4, True), (None, 0, None, True), (None, 0, None, True)], key=str)
