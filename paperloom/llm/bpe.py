@@ -4,7 +4,9 @@ For every prefix of a byte string there is exactly one token that can end its en
 last tokens gives the encoding by walking back, lets bytes be appended without touching earlier entries,
 and lets an edit be re-encoded from the changed byte on.
 
-A null text counts as empty and gives no tokens. Every text is encoded whole.
+A null text counts as empty and gives no tokens. Every text is encoded whole, a piece at a time; caches of a worker
+are cleared at a fixed size. Every row gives a row: repeated ids and texts get equal results, null ids stay null. An
+empty table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from paperloom.llm.common import documents, map_batches
 
 CACHE_PIECES, CACHE_CHUNKS, CACHE_PREFIXES = 600_000, 400_000, 400_000  #: entries a worker process keeps over its tasks
 SHORT = 48  #: bytes of a piece whose prefixes are kept
+NEVER = 1 << 62  #: later than any rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +41,7 @@ class PrefixBPE:
         self.joined: dict[tuple[int, int], int] = {}
         self.reachable: set[int] = set()
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._borders: tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]] = {}, {}
         self._prefixes: dict[bytes, int] = {}
         # In order of rank: a token's halves are the two tokens its bytes have under lower ranks.
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
@@ -52,31 +56,34 @@ class PrefixBPE:
                 self.reachable.add(i)
                 self._pairs.pop((parts[0], parts[1]), None)
 
+    def _border(self, token: int, side: int) -> tuple[int, ...]:
+        """What stands at one border of a token (0 its beginning, 1 its end) while it is merged: a byte first, the token last."""
+        found = self._borders[side].get(token)
+        if found is None:
+            inner = self.halves[token][side]
+            found = self._borders[side][token] = (token,) if inner == token else (*self._border(inner, side), token)
+        return found
+
     def _may_follow(self, left: int, right: int) -> bool:
-        """Whether merging leaves left and right apart where they meet."""
-        joined, halves = self.joined, self.halves
-        a, b, limit = left, right, 1 << 62
+        """Whether merging leaves left and right apart where they meet.
+
+        As long as nothing is merged over the border, both sides go through their own merges, each at the rank of what it makes. So
+        the pairs that meet at the border are known, in order of time, and for each how long it lasts: until the next merge of either
+        side. A pair with a token of its own is merged if that token's rank comes before; of equal ranks the place further left goes
+        first, so the border gives way to the left side and goes before the right one."""
+        ends, begins = self._border(left, 1), self._border(right, 0)
+        i = j = 0
         while True:
-            merged = joined.get((a, b))
-            if merged is not None and merged < limit:
+            left_next = ends[i + 1] if i + 1 < len(ends) else NEVER
+            right_next = begins[j + 1] if j + 1 < len(begins) else NEVER
+            if self.joined.get((ends[i], begins[j]), NEVER) < min(left_next, right_next + 1):
                 return False
-            # Undo the later of the two merges that made a and b, on the side of the border.
-            if a > b:
-                limit = a
-                a = halves[a][1]
-                if a == limit:
-                    limit, b0 = b + 1, b
-                    b = halves[b][0]
-                    if b == b0:
-                        return True
+            if left_next == right_next == NEVER:
+                return True
+            if left_next <= right_next:
+                i += 1
             else:
-                limit, b0 = b + 1, b
-                b = halves[b][0]
-                if b == b0:
-                    limit, a0 = a, a
-                    a = halves[a][1]
-                    if a == a0:
-                        return True
+                j += 1
 
     def extend(self, last: list[int], data: bytes) -> list[int]:
         """last[i]: the token that ends the encoding of data[:i + 1]; filled in place up to the whole of data.
