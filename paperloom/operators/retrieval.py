@@ -9,10 +9,14 @@ from paperloom.functions import constants as K
 from paperloom.functions.text import strip
 
 
+# The wording of contexts is our own: only a model reads them.
+
+
 def field_line(name: Column, value: Column, masked: Column, bucket: Column, score: Column, corrected: Column) -> Column:
-    shown = F.when(F.coalesce(masked, F.lit(False)), K.MASKED).otherwise(F.coalesce(value, F.lit("null")))
-    points = F.when(score.isNotNull(), F.concat(F.lit(", score: "), F.format_string("%.2f", score))).otherwise("")
-    return F.concat(F.lit("- "), name, F.lit(": "), shown, F.lit(" (confidence: "), F.coalesce(bucket, F.lit("unknown")), points, F.when(F.coalesce(corrected, F.lit(False)), ", manually verified").otherwise(""), F.lit(")"))
+    """name = value [bucket 0.85, checked by hand]"""
+    shown = F.when(F.coalesce(masked, F.lit(False)), K.MASKED).otherwise(F.coalesce(value, F.lit("(none)")))
+    points = F.when(score.isNotNull(), F.format_string(" %.2f", score)).otherwise("")
+    return F.concat(name, F.lit(" = "), shown, F.lit(" ["), F.coalesce(bucket, F.lit("unrated")), points, F.when(F.coalesce(corrected, F.lit(False)), ", checked by hand").otherwise(""), F.lit("]"))
 
 
 def _stacked(lines: DataFrame, *order: str) -> DataFrame:
@@ -29,11 +33,11 @@ def field_lines(fields: DataFrame) -> DataFrame:
 def table_lines(cells: DataFrame, masked_columns: tuple[str, ...] = ()) -> DataFrame:
     """Tables with their first rows; cells of masked_columns are not shown."""
     value = F.when(F.col("col_name").isin(*masked_columns), K.MASKED).otherwise(F.col("value")) if masked_columns else F.col("value")
-    described = F.transform(F.array_sort(F.collect_list(F.struct("col_pos", F.concat("col_name", F.lit(": "), value).alias("t")))), lambda s: s["t"])
-    rows = cells.groupBy("document_id", "table_idx", "table_name", "row_index").agg(F.array_join(described, ", ").alias("t"))
+    described = F.transform(F.array_sort(F.collect_list(F.struct("col_pos", F.concat("col_name", F.lit(" = "), value).alias("t")))), lambda s: s["t"])
+    rows = cells.groupBy("document_id", "table_idx", "table_name", "row_index").agg(F.array_join(described, "; ").alias("t"))
     heads = rows.groupBy("document_id", "table_idx", "table_name").agg(F.count(F.lit(1)).alias("n"))
-    heads = heads.select("document_id", "table_idx", F.lit(0).alias("row_index"), F.concat(F.lit("- "), "table_name", F.lit(" table: "), F.col("n").cast("string"), F.lit(" rows")).alias("line"))
-    shown = rows.filter(F.col("row_index") <= K.CONTEXT_ROWS).select("document_id", "table_idx", "row_index", F.concat(F.lit("  * row "), F.col("row_index").cast("string"), F.lit(": "), "t").alias("line"))
+    heads = heads.select("document_id", "table_idx", F.lit(0).alias("row_index"), F.concat(F.lit("table "), "table_name", F.lit(", rows: "), F.col("n").cast("string")).alias("line"))
+    shown = rows.filter(F.col("row_index") <= K.CONTEXT_ROWS).select("document_id", "table_idx", "row_index", F.concat(F.lit("  "), F.col("row_index").cast("string"), F.lit(") "), "t").alias("line"))
     return _stacked(heads.unionByName(shown), "table_idx", "row_index")
 
 
@@ -45,12 +49,12 @@ def context(documents: DataFrame, fields: DataFrame, cells: DataFrame, checks: D
     out = documents.join(field_lines(fields).withColumnRenamed("lines", "field_lines"), "document_id", "left").join(table_lines(cells).withColumnRenamed("lines", "table_lines"), "document_id", "left")
     out = out.join(failed, "document_id", "left").join(alerts, "document_id", "left")
     name = F.coalesce(F.nullif("filename", F.lit("")), F.concat("doc_type", F.lit("_"), F.substring("document_id", 1, 8)))
-    head = F.concat(F.lit("Document [filename: "), name, F.lit(", type: "), "doc_type", F.lit(", uploaded "), F.substring("upload_timestamp", 1, 10), F.lit(", ID: "), "document_id", F.lit("]:"))
-    n = F.coalesce("alerts", F.lit(0)).cast("string")
-    checked = F.when(F.col("failed").isNull(), F.lit("- Validation: all cross-checks passed, ")).otherwise(F.concat(F.lit("- Validation: "), F.size("failed").cast("string"), F.lit(" cross-check(s) failed ("), F.array_join("failed", ", "), F.lit("), ")))
-    secret = F.when(F.col("is_confidential"), F.concat(F.lit("- Confidentiality: CONFIDENTIAL ("), F.upper("sensitivity_level"), F.lit(" sensitivity — "), "reason", F.lit(")"))).otherwise("- Confidentiality: not confidential")
-    status = F.concat(F.lit("- Review Status: "), "overall_status", F.lit(" ("), F.col("n_corrections").cast("string"), F.lit(" correction(s) recorded)"))
-    return out.select("document_id", F.concat_ws("\n", head, "field_lines", "table_lines", F.concat(checked, n, F.lit(" tamper anomaly alert(s)")), secret, status).alias("context"))
+    head = F.concat(F.lit("== "), name, F.lit(" ("), "doc_type", F.lit("), of "), F.substring("upload_timestamp", 1, 10), F.lit(", id "), "document_id")
+    checked = F.concat(F.lit("checks: "), F.when(F.col("failed").isNull(), F.lit("all hold")).otherwise(F.concat(F.lit("these fail: "), F.array_join("failed", ", "))))
+    warned = F.concat(F.lit("signs of tampering: "), F.coalesce("alerts", F.lit(0)).cast("string"))
+    secret = F.when(F.col("is_confidential"), F.concat(F.lit("secrecy: "), F.lower("sensitivity_level"), F.lit(", because "), "reason")).otherwise("secrecy: none")
+    status = F.concat(F.lit("review: "), "overall_status", F.lit(", corrections: "), F.col("n_corrections").cast("string"))
+    return out.select("document_id", F.concat_ws("\n", head, "field_lines", "table_lines", checked, warned, secret, status).alias("context"))
 
 
 def relevant(contexts: DataFrame, query: str, k: int) -> DataFrame:

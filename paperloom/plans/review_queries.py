@@ -184,26 +184,32 @@ def answer_refs(spark, d):
 
 
 @register("context_lines", f"""WITH {FIELDS_SQL}
-SELECT document_id, string_agg('- ' || name || ': ' || CASE WHEN field_type = 'id_number' OR name IN ('iban', 'tax_id') THEN '[masked — verification required]' ELSE value END || ' (confidence: ' || bucket || ', score: ' || printf('%.2f', combined_score) || ')', chr(10) ORDER BY pos) AS lines FROM fields GROUP BY 1""")
+SELECT document_id, string_agg(name || ' = ' || CASE WHEN field_type = 'id_number' OR name IN ('iban', 'tax_id') THEN '[masked — verification required]' ELSE value END || ' [' || bucket || ' ' || printf('%.2f', combined_score) || ']', chr(10) ORDER BY pos) AS lines FROM fields GROUP BY 1""")
 def context_lines(spark, d):
     f = privacy.masked_fields(fields_of(spark, d))
     return retrieval.field_lines(f)
 
 
 @register("document_context", f"""WITH {FIELDS_SQL},
-l AS (SELECT document_id, doc_type, string_agg('- ' || name || ': ' || CASE WHEN field_type = 'id_number' OR name IN ('iban', 'tax_id') THEN '[masked — verification required]' ELSE value END || ' (confidence: ' || bucket || ', score: ' || printf('%.2f', combined_score) || ')', chr(10) ORDER BY pos) AS lines FROM fields GROUP BY 1, 2)
-SELECT document_id, 'Document [filename: ' || doc_type || '_' || left(document_id, 8) || ', type: ' || doc_type || ', uploaded 2024-01-01, ID: ' || document_id || ']:' || chr(10) || lines || chr(10) || '- items table: 1 rows' || chr(10) || '  * row 1: amount: ' || document_id || chr(10)
-  || CASE WHEN document_id % 3 = 0 THEN '- Validation: 1 cross-check(s) failed (sum), ' ELSE '- Validation: all cross-checks passed, ' END || CASE WHEN document_id % 4 = 0 THEN '1' ELSE '0' END || ' tamper anomaly alert(s)' || chr(10)
-  || CASE WHEN document_id % 2 = 0 THEN '- Confidentiality: CONFIDENTIAL (HIGH sensitivity — because)' ELSE '- Confidentiality: not confidential' END || chr(10) || '- Review Status: needs_review (2 correction(s) recorded)' AS context
-FROM (SELECT CAST(document_id AS VARCHAR) AS did, CAST(document_id AS VARCHAR) AS x, * FROM l)""".replace("left(document_id, 8)", "left(did, 8)"))
+l AS (SELECT document_id, doc_type, string_agg(name || ' = ' || CASE WHEN field_type = 'id_number' OR name IN ('iban', 'tax_id') THEN '[masked — verification required]' ELSE value END || ' [' || bucket || ' ' || printf('%.2f', combined_score) || ']', chr(10) ORDER BY pos) AS lines FROM fields GROUP BY 1, 2),
+r AS (SELECT document_id AS rid, string_agg('  ' || i || ') amount = ' || document_id || '; note = n' || i, chr(10) ORDER BY i) AS t FROM l, range(1, 11) x(i) WHERE i <= document_id % 14 GROUP BY 1)
+SELECT document_id, '== ' || doc_type || '_' || left(document_id, 8) || ' (' || doc_type || '), of 2024-01-01, id ' || document_id || chr(10) || lines || chr(10)
+  || CASE WHEN document_id % 14 > 0 THEN 'table items, rows: ' || document_id % 14 || chr(10) || t || chr(10) ELSE '' END
+  || CASE WHEN document_id % 3 = 0 THEN 'checks: these fail: sum' ELSE 'checks: all hold' END || chr(10) || 'signs of tampering: ' || CASE WHEN document_id % 4 = 0 THEN '1' ELSE '0' END || chr(10)
+  || CASE WHEN document_id % 2 = 0 THEN 'secrecy: high, because reason' ELSE 'secrecy: none' END || chr(10) || 'review: needs_review, corrections: 2' AS context
+FROM l LEFT JOIN r ON rid = document_id""".replace("left(document_id, 8)", "left(CAST(document_id AS VARCHAR), 8)"))
 def document_context(spark, d):
     f = privacy.masked_fields(fields_of(spark, d)).withColumn("document_id", F.col("document_id").cast("string"))
     key = F.col("document_id").cast("long")
     docs = f.select("document_id", "doc_type").distinct().select(
         "*", F.lit("").alias("filename"), F.lit("2024-01-01T00:00:00").alias("upload_timestamp"), (key % 2 == 0).alias("is_confidential"), F.lit("high").alias("sensitivity_level"),
-        F.lit("because").alias("reason"), F.lit("needs_review").alias("overall_status"), F.lit(2).alias("n_corrections"),
+        F.lit("reason").alias("reason"), F.lit("needs_review").alias("overall_status"), F.lit(2).alias("n_corrections"),
     )
-    cells = docs.select("document_id", F.lit(0).alias("table_idx"), F.lit("items").alias("table_name"), F.lit(1).alias("row_index"), F.lit(0).alias("col_pos"), F.lit("amount").alias("col_name"), F.col("document_id").alias("value"))
+    # Up to 13 rows, of which the first ten are shown.
+    rows = docs.select("document_id", F.explode(F.when(key % 14 > 0, F.sequence(F.lit(1), (key % 14).cast("int")))).alias("row_index"))
+    cell = lambda pos, name, value: F.struct(F.lit(pos).alias("col_pos"), F.lit(name).alias("col_name"), value.alias("value"))
+    columns = F.explode(F.array(cell(0, "amount", F.col("document_id")), cell(1, "note", F.concat(F.lit("n"), F.col("row_index").cast("string")))))
+    cells = rows.select("document_id", F.lit(0).alias("table_idx"), F.lit("items").alias("table_name"), "row_index", columns.alias("c")).select("document_id", "table_idx", "table_name", "row_index", "c.*")
     checks = docs.select("document_id", F.lit("sum").alias("check_name"), (key % 3 != 0).alias("passed"))
     flags = docs.filter(key % 4 == 0).select("document_id")
     return retrieval.context(docs, f, cells, checks, flags).withColumn("document_id", F.col("document_id").cast("long"))
