@@ -8,7 +8,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -71,10 +71,24 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def may_be_similar(a: Column, b: Column, ratio: float = K.FUZZY_RATIO) -> Column:
+    """Whether two texts can reach a ratio of matching characters, 2 m / (len(a) + len(b)): m is at most the shorter length, and at most
+    what they share of each character. Both bounds are without error; the second is looked at only where the first leaves hope."""
+    both = F.length(a) + F.length(b)
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    return F.when(2 * F.least(F.length(a), F.length(b)) < ratio * both, False).otherwise(2 * shared >= ratio * both)
+
+
+def similar_candidates(values: DataFrame, lines: DataFrame) -> DataFrame:
+    """Values with the lines of their documents that they can be similar to, by bounds that need no Python."""
+    ln = lines.select("document_id", "page", "line_idx", F.col("text").alias("raw_text"), *BOX)
+    return _values(values).join(ln, "document_id").filter(may_be_similar(F.lower("value"), F.lower("raw_text")))
+
+
 def by_similarity(values: DataFrame, lines: DataFrame) -> DataFrame:
     """The most similar line of the first page that has one similar enough."""
-    ln = lines.select("document_id", "page", "line_idx", F.col("text").alias("raw_text"), *BOX)
-    near = _values(values).join(ln, "document_id").withColumn("score", similarity(F.lower("value"), F.lower("raw_text"))).filter(F.col("score") >= K.FUZZY_RATIO)
+    near = similar_candidates(values, lines).withColumn("score", similarity(F.lower("value"), F.lower("raw_text"))).filter(F.col("score") >= K.FUZZY_RATIO)
     order = Window.partitionBy("document_id", "name").orderBy("page", F.desc("score"), "line_idx")
     best = near.withColumn("rank", F.row_number().over(order)).filter("rank = 1")
     return best.select("document_id", "name", F.lit("similar").alias("method"), "score", "raw_text", "page", *BOX)

@@ -1,13 +1,16 @@
-"""Queries of pictures: strokes, skew and recompression, over pages drawn from the words of documents."""
+"""Queries of files and pictures: facts of PDFs, and strokes, skew and recompression over pages drawn from the words of documents."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks, pixels, quality
 from paperloom.plans.catalog import register, table
+from paperloom.sources import files
 
 COLUMNS, ROWS, CELL_WIDTH, CELL_HEIGHT, WORD_HEIGHT = 8, 10, 90, 20, 12
 PICTURE = "document_id long, page int, height int, width int, channels int, pixels binary"
@@ -108,3 +111,36 @@ def recompression(spark, d):
 
     measured = drawn(words_of(spark, d).filter("page = 1")).mapInPandas(run, "document_id long, page int, resave_mean double, resave_percent double")
     return checks.recompression_flags(measured)
+
+
+def paper(pages: int, created: str, modified: str | None, software: str) -> bytes:
+    """A PDF of so many pages whose objects and references are in compressed streams."""
+    bodies = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Count {pages}/Kids[{' '.join(f'{4 + i} 0 R' for i in range(pages))}]>>", f"<</CreationDate({created}){f'/ModDate({modified})' if modified else ''}/Creator({software})>>", *["<</Type/Page/Parent 2 0 R>>"] * pages]
+    heads = " ".join(f"{i + 1} {sum(len(b) + 1 for b in bodies[:i])}" for i in range(len(bodies))) + " "
+    packed = zlib.compress((heads + " ".join(bodies)).encode())
+    n, out = len(bodies), b"%PDF-1.5\n"
+    holder = len(out)
+    out += b"%d 0 obj<</Type/ObjStm/N %d/First %d/Filter/FlateDecode/Length %d>>stream\n%b\nendstream endobj\n" % (n + 1, n, len(heads), len(packed), packed)
+    rows = b"\0\0\0\0\0" + b"".join(bytes([2, 0, 0, n + 1, i]) for i in range(n)) + b"\1" + holder.to_bytes(3, "big") + b"\0" + b"\1" + len(out).to_bytes(3, "big") + b"\0"
+    packed, start = zlib.compress(rows), len(out)
+    return out + b"%d 0 obj<</Type/XRef/W[1 3 1]/Size %d/Root 1 0 R/Info 3 0 R/Filter/FlateDecode/Length %d>>stream\n%b\nendstream endobj\nstartxref\n%d\n%%%%EOF" % (n + 2, n + 3, len(packed), packed, start)
+
+
+@register("pdf_metadata", """
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(o_orderkey % 5 + 1 AS INT) AS page_count, epoch_us(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 977 % 86400)) AS created, CASE WHEN o_orderkey % 3 > 0 THEN epoch_us(CAST(CAST(o_orderdate AS DATE) + 9 AS TIMESTAMP)) END AS modified, o_clerk AS software FROM (SELECT *, 'Clerk (' || o_custkey || ')' AS o_clerk FROM orders)
+""")
+def pdf_metadata(spark, d):
+    """Each order as a PDF with compressed streams of objects and of references."""
+
+    def run(frames):
+        for frame in frames:
+            made = [paper(int(k) % 5 + 1, c, m, "Clerk \\(" + str(u) + "\\)") for k, c, m, u in zip(frame["o_orderkey"], frame["created"], frame["modified"], frame["o_custkey"], strict=True)]
+            yield pd.DataFrame({"document_id": frame["o_orderkey"].astype(str), "kind": "pdf", "content": made})
+
+    k = F.col("o_orderkey")
+    t = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k * 977 % 86400 * 1_000_000)
+    created = F.date_format(t, "'D:'yyyyMMddHHmmss'+05''30'")
+    modified = F.when(k % 3 > 0, F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 9), "'D:'yyyyMMdd"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", created.alias("created"), modified.alias("modified"))
+    found = files.metadata(orders.mapInPandas(run, "document_id string, kind string, content binary"))
+    return found.select("document_id", "page_count", F.unix_micros("created").alias("created"), F.unix_micros("modified").alias("modified"), "software")

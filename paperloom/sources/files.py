@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.values import exif_date, pdf_date
+from paperloom.sources import pdf
 
 TYPES = ("pdf", "png", "jpg", "jpeg")
 GLOB = "*.{" + ",".join([*TYPES, *(t.upper() for t in TYPES), "txt", "pgm", "ppm"]) + "}"
@@ -48,7 +49,10 @@ def _pdf_text(data: bytes, key: bytes) -> str | None:
 
 
 def pdf_facts(data: bytes) -> tuple[int, str | None, str | None, str | None]:
-    """Pages, creation, modification, software of a PDF whose objects are not compressed."""
+    """Pages, creation, modification, software. Where no object can be read, what stands in the open is taken."""
+    held = pdf.Document(data)
+    if "Root" in held.trailer:
+        return max(1, held.pages()), held.said("CreationDate"), held.said("ModDate"), held.said("Producer") or held.said("Creator")
     pages = len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data))
     return max(1, pages), _pdf_text(data, b"CreationDate"), _pdf_text(data, b"ModDate"), _pdf_text(data, b"Producer") or _pdf_text(data, b"Creator")
 
@@ -84,19 +88,19 @@ def exif_facts(data: bytes) -> dict[str, str]:
     return out
 
 
-def _facts(pdfs):
-    for pdf in pdfs:
+def _facts(frames):
+    for frame in frames:
         rows = []
-        for kind, content in zip(pdf["kind"], pdf["content"], strict=True):
+        for kind, content in zip(frame["kind"], frame["content"], strict=True):
             try:
                 if kind == "pdf":
                     rows.append(pdf_facts(bytes(content)))
                 else:
                     x = exif_facts(bytes(content))
                     rows.append((1, x.get("created") or x.get("modified"), x.get("modified"), x.get("software")))
-            except (struct.error, ValueError):
+            except (struct.error, ValueError, RecursionError):
                 rows.append((1, None, None, None))
-        yield pd.DataFrame({"document_id": pdf["document_id"], "kind": pdf["kind"]} | {n: [r[i] for r in rows] for i, n in enumerate(("page_count", "created_text", "modified_text", "software"))})
+        yield pd.DataFrame({"document_id": frame["document_id"], "kind": frame["kind"]} | {n: [r[i] for r in rows] for i, n in enumerate(("page_count", "created_text", "modified_text", "software"))})
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -45,6 +45,22 @@ def test_similarity(spark, a, b, ratio):
     assert round(row["r"], 4) == ratio
 
 
+def test_similar_lines_lose_nothing_to_their_bounds(spark):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcde .1") for _ in range(n))
+    lines = [text(rnd.randint(1, 30)) for _ in range(60)]
+    mixed = lambda t: "".join(c if rnd.random() > 0.15 else rnd.choice("xyz") for c in t)
+    values = [mixed(rnd.choice(lines)) + "q" for _ in range(40)]
+    ln = spark.createDataFrame([("d", 1, i, t, 0, 0, 1, 1) for i, t in enumerate(lines)], "document_id string, page int, line_idx int, text string, x int, y int, width int, height int")
+    vs = spark.createDataFrame([("d", f"v{i}", t) for i, t in enumerate(values)], "document_id string, name string, value string")
+    ratio = lambda v, t: difflib.SequenceMatcher(None, v.strip().lower(), t.lower()).ratio()
+    want = {(f"v{i}", k) for i, v in enumerate(values) for k, t in enumerate(lines) if ratio(v, t) >= 0.75}
+    left = {(r["name"], r["line_idx"]) for r in grounding.similar_candidates(vs, ln).collect()}
+    assert want <= left and len(want) > 10 and len(left) < 40 * 60 / 5
+    got = {r["name"]: r["score"] for r in grounding.by_similarity(vs, ln).collect()}
+    assert got == pytest.approx({n: max(ratio(values[int(n[1:])], lines[k]) for m, k in want if m == n) for n, _ in want})
+
+
 def test_line_item_cases(spark):
     fields = spark.createDataFrame([("ok", "total_amount", "151.00"), ("bad", "total_amount", "151.01"), ("none", "vendor_name", "x"), ("unread", "total_amount", "1")], "document_id string, name string, value string")
     cells = spark.createDataFrame([(d, 0, "line_items", i, "amount", v) for d in ("ok", "bad") for i, v in enumerate(("100.00", "49.99", "0.01"))] + [("unread", 0, "line_items", 1, "amount", "n/a"), ("ok", 1, "line_items", 1, "amount", "7")], "document_id string, table_idx int, table_name string, row_index int, col_name string, value string")
