@@ -35,6 +35,7 @@ class Providers:
     words: WordProvider
     model: ModelProvider
     pages: PageProvider = field(default_factory=ImagePages)
+    at_once: int = 1  #: prompts that a task has under way
 
 
 def _nested(df: DataFrame, name: str, columns: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -83,11 +84,11 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers) ->
     words = written(layout.without_noise(read_words(accepted, p.words)), "words")
     lines = written(layout.words_to_lines(words), "lines")
     texts = written(kept.join(layout.document_texts(layout.page_texts(lines)), "document_id", "left"), "texts")
-    typed = ask(texts.select("document_id", extraction.classification_prompt(F.coalesce("document_text", F.lit(""))).alias("prompt")), p.model)
+    typed = ask(texts.select("document_id", extraction.classification_prompt(F.coalesce("document_text", F.lit(""))).alias("prompt")), p.model, at_once=p.at_once)
     typed = written(texts.join(typed, "document_id", "left").select("document_id", "document_text", extraction.doc_type_of(F.coalesce("raw", F.lit("other")), F.col("document_text")).alias("doc_type")), "types")
     examples = review.examples(store.read("corrections"))
     prompts = typed.join(examples, "doc_type", "left").select("document_id", extraction.extraction_prompt(F.col("doc_type"), F.col("document_text"), F.col("examples")).alias("prompt"))
-    raw = ask(prompts, p.model, tries=2, good=lambda text: re.search(r"\{.*\}", text, re.S) is not None)
+    raw = ask(prompts, p.model, at_once=p.at_once, tries=2, good=lambda text: re.search(r"\{.*\}", text, re.S) is not None)
     answers = written(typed.select("document_id", "doc_type").join(raw, "document_id", "left").select("document_id", "doc_type", extraction.parse_answer(F.col("raw")).alias("answer")), "answers")
 
     fields = written(extraction.fields_of(answers), "fields")
@@ -96,7 +97,7 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers) ->
     placed = written(grounding.ground(fields, lines, words), "placed")
     fields = fields.join(placed.drop("method", "score"), key, "left").withColumn("raw_ocr_text", F.coalesce("raw_text", "value"))
     asked = fields.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "value"))).alias("f")).join(typed, "document_id")
-    rating = ask(asked.select("document_id", extraction.rating_prompt(F.col("doc_type"), F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))), F.coalesce("document_text", F.lit(""))).alias("prompt")), p.model)
+    rating = ask(asked.select("document_id", extraction.rating_prompt(F.col("doc_type"), F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))), F.coalesce("document_text", F.lit(""))).alias("prompt")), p.model, at_once=p.at_once)
     rating = written(rating.select("document_id", F.explode(F.from_json(extraction.clean_json(F.col("raw")), "map<string,string>")).alias("name", "rating")), "ratings")
     scored = written(scoring.score_fields(fields, words, scoring.ratings(rating)), "scored")
 

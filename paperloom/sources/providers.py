@@ -11,6 +11,7 @@ import struct
 import time
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -165,23 +166,24 @@ def read_words(files: DataFrame, provider: WordProvider) -> DataFrame:
     return files.select("document_id", "kind", "content").mapInPandas(run, "document_id string, " + WORD_COLUMNS)
 
 
-def ask(prompts: DataFrame, provider: ModelProvider, tries: int = 1, good=None) -> DataFrame:
+def ask(prompts: DataFrame, provider: ModelProvider, tries: int = 1, good=None, at_once: int = 1) -> DataFrame:
     """(document_id, raw) of prompts (document_id, prompt); asked again while good(raw) is false, up to tries times. A
-    model that fails gives null."""
+    model that fails gives null. A task has at most `at_once` prompts under way, so a job at most that many times its cores."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for prompt in pdf["prompt"]:
+    def answer(prompt: str) -> str | None:
+        raw = None
+        for _ in range(tries):
+            try:
+                raw = provider.complete(prompt)
+            except Exception:  # noqa: BLE001  a service that fails
                 raw = None
-                for _ in range(tries):
-                    try:
-                        raw = provider.complete(prompt)
-                    except Exception:  # noqa: BLE001  a service that fails
-                        raw = None
-                    if raw is not None and (good is None or good(raw)):
-                        break
-                out.append(raw)
-            yield pd.DataFrame({"document_id": pdf["document_id"], "raw": out})
+            if raw is not None and (good is None or good(raw)):
+                break
+        return raw
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in pdfs:
+                yield pd.DataFrame({"document_id": pdf["document_id"], "raw": list(pool.map(answer, pdf["prompt"]))})
 
     return prompts.select("document_id", "prompt").mapInPandas(run, "document_id string, raw string")
