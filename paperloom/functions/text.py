@@ -26,7 +26,9 @@ def normalised(value: Column) -> Column:
 
 
 def label(name: Column) -> Column:
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    """A name for people: blanks for underscores, and every run of letters with a capital first, behind digits and marks too."""
+    runs = F.regexp_extract_all(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def any_contains(value: Column, words) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
-from paperloom.scratch import written
+from paperloom.scratch import discard, written
 
 #: Bytes of a hash that make one key: at most 5 of 64 bits differing leave 3 of 8 bytes equal, so one of the 56 keys of
 #: 24 bits is. Unlike hashes share a key with probability 56 / 2^24.
@@ -79,7 +79,8 @@ def accepted_in_order(documents: DataFrame, distance: int = K.HASH_DISTANCE) ->
             break
         kept = now if kept is None else kept.union(now)
         dropped = links.join(now, "h", "left_semi").select(F.col("r").alias("h")).distinct()
-        undecided = written(undecided.join(now, "h", "left_anti").join(dropped, "h", "left_anti"), "hash-undecided")
+        undecided, done = written(undecided.join(now, "h", "left_anti").join(dropped, "h", "left_anti"), "hash-undecided"), undecided
+        discard(done)
     if kept is None:
         kept = first.select("h")
     held = documents.withColumn("h", F.lower("perceptual_hash")).join(kept.join(first, "h"), ["h", "seq"]).select("document_id", "file_hash", "seq")

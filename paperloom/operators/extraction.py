@@ -34,9 +34,11 @@ def parse_answer(raw: Column) -> Column:
 
 
 def entries(m: Column) -> Column:
-    """Entries of a map in order; of a repeated key the last value, at the place of the first."""
+    """Entries of a map in order; of a repeated key the last value, at the place of the first. Only maps that repeat a key are searched
+    for every key."""
     last = lambda k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)
-    return F.transform(F.array_distinct(F.map_keys(m)), last)
+    keys = F.array_distinct(F.map_keys(m))
+    return F.when(F.size(keys) == F.size(m), F.map_entries(m)).otherwise(F.transform(keys, last))
 
 
 def fields_of(answers: DataFrame) -> DataFrame:

@@ -95,7 +95,9 @@ def references(answers: DataFrame, documents: DataFrame) -> DataFrame:
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.length("answer"), F.lit(1))))
     at = parsed.select("answer_id", "answer", start.alias("at"))
     pieces = at.select("answer_id", F.expr("substring(answer, at, 8)").alias("piece")).distinct()
-    shorter = at.select("answer_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.col("answer").substr(F.col("at"), n))).alias("piece")).distinct()
+    # Pieces of fewer characters are made only if there is an id of so few: one row says so.
+    any_short = documents.agg(F.coalesce(F.bool_or((F.length("document_id") < 8) & (F.col("document_id") != "")), F.lit(False)).alias("any_short"))
+    shorter = at.crossJoin(F.broadcast(any_short)).filter("any_short").select("answer_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.col("answer").substr(F.col("at"), n))).alias("piece")).distinct()
     short = F.length("document_id") < 8
     hit = pieces.join(ids.filter(~short), "piece").unionByName(shorter.join(ids.filter(short), "piece"))
     hit = hit.groupBy("answer_id", "document_id").agg(F.max("seq").alias("seq"))

@@ -12,7 +12,7 @@ from paperloom.scratch import written
 WORDS_SQL = """
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents),
 wd AS (SELECT doc_id, l, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS w FROM ln),
-words AS (SELECT doc_id AS document_id, 1 + l // 40 AS page, l * 10000 + w AS word_idx, l AS line_num, text, (doc_id * 7 + l * 13 + w * 31) % 101 AS pct,
+words AS (SELECT doc_id AS document_id, 1 + l // 40 AS page, l * 1000000 + w AS word_idx, l AS line_num, text, (doc_id * 7 + l * 13 + w * 31) % 101 AS pct,
   w * 90 AS x, (l % 40) * 20 AS y, length(text) * 8 AS width, 10 + (length(text) * 3 + w) % 5 AS height FROM wd WHERE trim(text) <> ''),
 lines AS (SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY min(word_idx)) - 1 AS line_idx, line_num, string_agg(text, ' ' ORDER BY x, word_idx) AS text,
   floor((2 * sum(pct * 100) + count(*)) / (2 * count(*))) / 10000.0 AS confidence, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM words GROUP BY document_id, page, line_num)
@@ -24,7 +24,7 @@ def words_of(spark, d):
     made = rows.select(
         F.col("doc_id").alias("document_id"),
         (F.floor(F.col("l") / 40) + 1).alias("page"),
-        (F.col("l") * 10000 + F.col("w")).alias("word_idx"),
+        (F.col("l").cast("long") * 1_000_000 + F.col("w")).alias("word_idx"),
         "text",
         (((F.col("doc_id") * 7 + F.col("l") * 13 + F.col("w") * 31) % 101) / 100.0).alias("confidence"),
         (F.col("w") * 90).alias("x"),

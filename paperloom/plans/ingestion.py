@@ -23,6 +23,7 @@ RESULT = (
     "document_id string, doc_type string, upload_timestamp string, original_filename string, "
     f"extracted_fields array<struct<pos:int,name:string,value:string,field_type:string,raw_ocr_text:string,bbox:{BOX},confidence:struct<ocr_confidence:double,llm_confidence:double,rule_check_passed:boolean,combined_score:double,bucket:string>,is_masked:boolean>>, "
     "tables array<struct<table_idx:int,table_name:string,row_index:int,col_name:string,value:string,confidence:double>>, "
+    f"table_scores array<struct<table_idx:int,table_confidence:double,bbox:{BOX}>>, "
     "cross_checks array<struct<check_name:string,fields_compared:array<string>,expected_relationship:string,passed:boolean,detail:string,discrepancy:string>>, tamper_flags array<struct<flag_type:string,affected_field:string,evidence:string,severity:string>>, "
     "is_confidential boolean, sensitivity_level string, overall_status string"
 )
@@ -107,6 +108,9 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers) ->
     boxed = located.filter("x is not null")
     cell_scores = scoring.score_cells(located.join(grounding.field_confidence(boxed.select("document_id", "name", "page", "x", "y", "width", "height"), words), key, "left"))
 
+    box = F.when(F.col("page").isNotNull(), F.struct(*[F.col(c).cast("int").alias(c) for c in ("page", "x", "y", "width", "height")]))
+    table_scores = scoring.score_tables(cell_scores).join(scoring.table_boxes(located), ["document_id", "table_idx"], "left").withColumn("bbox", box)
+
     tests = checks.cross_checks(typed.select("document_id", "doc_type"), fields, cells)
     boxes = scored.filter("page is not null")
     strokes = quality.strokes(pages.join(kept.select("document_id"), "document_id", "left_semi"), words, boxes)
@@ -122,6 +126,7 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers) ->
     parts = [
         _nested(final, "extracted_fields", ("pos", "name", "value", "field_type", "raw_ocr_text", "bbox", "confidence", "is_masked"), ("pos",)),
         _nested(cell_scores, "tables", ("table_idx", "table_name", "row_index", "col_name", "value", "confidence"), ("table_idx", "row_index", "col_pos")),
+        _nested(table_scores, "table_scores", ("table_idx", "table_confidence", "bbox"), ("table_idx",)),
         _nested(tests, "cross_checks", checks.RECORD, ("check_name",)),
         _nested(flags, "tamper_flags", ("flag_type", "affected_field", "evidence", "severity"), ("flag_type", "affected_field", "evidence")),
         secret.select("document_id", "is_confidential", "sensitivity_level"),

@@ -262,9 +262,38 @@ def export_records(spark, d):
 
 
 @register("field_frame", f"""WITH {FIELDS_SQL}
-SELECT document_id, pos, CASE name WHEN 'vendor_name' THEN 'Vendor Name' WHEN 'invoice_number' THEN 'Invoice Number' WHEN 'iban' THEN 'Iban' WHEN 'tax_id' THEN 'Tax Id' ELSE 'Segment' END AS field, bucket AS confidence FROM fields""")
+SELECT document_id, pos, CASE name WHEN 'vendor_name' THEN 'Vendor Name' WHEN 'invoice_number' THEN 'Invoice Number' WHEN 'iban' THEN 'Iban' WHEN 'tax_id' THEN 'Tax Id' ELSE 'Segment' END AS field, CASE WHEN NOT h THEN value WHEN field_type = 'id_number' THEN 'XXXX-XXXX-' || right(value, 4) WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE left(value, 1) || repeat('*', length(value) - 2) || right(value, 1) END AS value,
+  bucket AS confidence, combined_score, h AS is_masked FROM (SELECT *, field_type = 'id_number' OR name IN ('iban', 'tax_id') AS h FROM fields)""")
 def field_frame(spark, d):
-    return display.field_frame(privacy.masked_fields(fields_of(spark, d))).select("document_id", "pos", "field", "confidence")
+    return display.field_frame(privacy.masked_fields(fields_of(spark, d)))
+
+
+@register("table_frame", """
+SELECT l_orderkey AS document_id, 0 AS table_idx, 'line_items' AS table_name, r AS row_index, 'Line No2A: ' || l_linenumber || ' | Part Key: ' || CASE WHEN l_partkey % 5 > 0 THEN CAST(l_partkey AS VARCHAR) ELSE '' END AS cells
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem)
+""")
+def table_frame(spark, d):
+    """Lines of orders as rows of a table of two columns, one of which may be empty."""
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    cell = lambda pos, name, value: F.struct(F.lit(pos).alias("col_pos"), F.lit(name).alias("col_name"), value.cast("string").alias("value"))
+    cells = F.array(cell(1, "part_key", F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey"))), cell(0, "line_no2a", F.col("l_linenumber")))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit(0).alias("table_idx"), F.lit("line_items").alias("table_name"), row.alias("row_index"), cells.alias("cells"))
+    return display.table_frame(rows.select("document_id", "table_idx", "table_name", "row_index", F.explode("cells").alias("c")).select("document_id", "table_idx", "table_name", "row_index", "c.*"))
+
+
+@register("record_files", """
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'order.' || o_orderkey END || '_extracted_record.json' AS file_name,
+  '{"document_id":"' || o_orderkey || '","doc_type":' || CASE WHEN o_orderkey % 2 = 0 THEN '"invoice"' ELSE 'null' END || ',"extracted_fields":[{"name":"status","value":"' || o_orderstatus || '"},{"name":"key","value":"' || o_orderkey || '"}]}' AS record FROM orders
+""")
+def record_files(spark, d):
+    """Orders as stored records: their whole JSON, without the white space that is there for people, and the names of their files."""
+    k = F.col("o_orderkey").cast("string")
+    fields = F.array(F.struct(F.lit("status").alias("name"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("key").alias("name"), k.alias("value")))
+    result = F.struct(k.alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "invoice").alias("doc_type"), fields.alias("extracted_fields"))
+    name = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("order."), k, F.lit(".pdf")))
+    made = display.records(table(spark, d, "orders").select(k.alias("document_id"), name.alias("original_filename"), result.alias("r")))
+    return made.withColumn("record", F.regexp_replace("record", r"\n *|(?<=[:,\[]) | (?=[:\]}])", ""))
+
 
 
 @register("reveal_attempts", """

@@ -9,7 +9,7 @@ from paperloom.functions import constants as K
 from paperloom.functions.scores import cell_score, combine, crop, is_personal, word_colour
 from paperloom.functions.text import doc_type_label, expected_type, infer_type, mask_value, nullish, snippet
 from paperloom.functions.values import exif_date, iso_date, mean4, parse_amount, parse_date, pdf_date, rule_passed, units
-from paperloom.operators import checks
+from paperloom.operators import checks, scoring
 from paperloom.plans.catalog import register, table
 
 
@@ -311,9 +311,8 @@ SELECT l_orderkey AS document_id, floor((2 * sum(u) + count(*)) / (2 * count(*))
 def table_confidence(spark, d):
     """Cell scores from made-up word confidences, averaged over each order's lines."""
     q = F.col("l_quantity").cast("long")
-    score = cell_score(F.when(q % 5 != 0, q * 2 / 100.0), F.when(q % 7 != 0, F.col("l_returnflag")))
-    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), score.alias("confidence"))
-    return cells.groupBy("document_id").agg(mean4(F.sum(units(F.col("confidence"))), F.count(F.lit(1))).alias("table_confidence"))
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit(0).alias("table_idx"), F.when(q % 5 != 0, q * 2 / 100.0).alias("ocr_confidence"), F.when(q % 7 != 0, F.col("l_returnflag")).alias("value"))
+    return scoring.score_tables(scoring.score_cells(cells)).drop("table_idx")
 
 
 @register("personal_fields", f"""
