@@ -147,3 +147,14 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, recall: float
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP9_SQL = f"""
+WITH RECURSIVE usable AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+scaled AS (SELECT vec_id, label, len(e) AS n, e, sqrt(list_dot_product(e, e)) AS size FROM usable WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM scaled a JOIN scaled b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.size * b.size) >= {COSINE}),
+reached(node, root) AS (SELECT u, u FROM links UNION SELECT v, root FROM reached JOIN links ON u = node),
+least AS (SELECT node, min(root) AS root FROM reached GROUP BY 1),
+counted AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept FROM embeddings LEFT JOIN counted ON u = vec_id LEFT JOIN least ON node = vec_id
+"""

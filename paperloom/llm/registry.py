@@ -27,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op9_embedding_dedup": embedding_dedup.OP9_SQL,
         "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op12_line_quality": line_quality.OP12_SQL,
         "op13_periodic_runs": periodic_runs.OP13_SQL,

@@ -51,3 +51,26 @@ def test_rows_of_one_id_and_rows_without_one(spark):
     rows = [(None, a.tolist(), 1), (5, near.tolist(), 1), (4, a.tolist(), 1), (None, b.tolist(), 1), (None, [0.0] * 16, 1)]
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(got, key=str) == sorted([(None, 2, 4, False), (5, 2, 4, False), (4, 2, 4, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 24))
+    rows = [(i, x.tolist(), i % 3) for i, x in enumerate(base)]
+    for i in range(40, 160):
+        x = base[i % 40] / np.linalg.norm(base[i % 40])
+        side = rng.standard_normal(24)
+        side -= (side @ x) * x
+        # Well above or well below the threshold, so that the last digits do not decide.
+        c = rng.choice((0.97, 0.99, 0.995))
+        rows.append((i, (c * x + np.sqrt(1 - c * c) * side / np.linalg.norm(side)).tolist(), (i % 40) % 3 if i % 7 else None))
+    rows += [(200, None, 1), (201, [0.0] * 24, 1), (202, [float("nan")] * 24, 1), (203, base[0].tolist(), 0), (204, [1.0], 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(E.OP9_SQL)
+    columns = ("vec_id", "n_links", "component_id", "kept")
+    want = sorted(tuple(dict(zip([c[0] for c in found.description], r, strict=True))[c] for c in columns) for r in found.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in E.op9_embedding_dedup(spark, str(tmp_path)).collect()) == want and sum(r[1] > 0 for r in want) > 50
