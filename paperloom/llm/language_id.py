@@ -28,6 +28,7 @@ from paperloom.scratch import discard, written
 TRAIN_ROWS = 6_000  #: labelled rows to fit on, about
 LEAST_ROWS = 50  #: rows of each language to fit on, about, where there are so many
 SLOT_BITS = 20
+MOST_WORDS = 16  #: words of 64 labels a filter holds with all its slots: 128 MB, for 1,024 labels
 HASHES = 2
 PART = 1 << 20  #: characters looked up at once
 ORDERS = (2, 4)  #: lengths of the n-grams in characters, word borders included
@@ -85,6 +86,10 @@ class Filter:
         self.filled = np.array([np.count_nonzero(masks[i >> 6] >> np.uint64(i & 63) & np.uint64(1)) / masks.shape[1] for i in range(len(languages))])
         self.false_rate = self.filled**HASHES
 
+    @property
+    def slot_bits(self) -> int:
+        return self.masks.shape[1].bit_length() - 1
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages:
             return "und", 0.0
@@ -94,7 +99,7 @@ class Filter:
         counts, total = np.zeros(len(self.languages)), 0
         for at in range(0, len(points), PART):  # very long texts by parts: n-grams that start in each
             h = np.concatenate([ngram_hashes(points[at : at + PART + n - 1], (n,)) for n in ORDERS])
-            at_slots = [slots(h, k) for k in range(HASHES)]
+            at_slots = [slots(h, k, self.slot_bits) for k in range(HASHES)]
             for first in range(0, len(self.languages), 64):
                 masks, n = self.masks[first >> 6], min(64, len(self.languages) - first)
                 got = masks[at_slots[0]]
@@ -115,7 +120,8 @@ class Filter:
 
 
 def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, slot_bits: int = SLOT_BITS) -> Filter:
-    """Fit on labelled (doc_id, text, lang)."""
+    """Fit on labelled (doc_id, text, lang). Every label is learned; the filter, which is broadcast, has at most MOST_WORDS words of all
+    its slots, so with more labels than that holds it has fewer slots a label, and is coarser."""
     labelled = labelled.filter("lang is not null and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))
     by_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(by_lang)
@@ -129,7 +135,9 @@ def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, slot_bits: int = S
     known = labelled.sparkSession.createDataFrame(known, "lang string, place int, sampled long, share double, least long")
     sample = labelled.join(F.broadcast(known.select("lang", "place", "share")), "lang")
     sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("text", "place")
-    size, words = 1 << slot_bits, -(-len(languages) // 64)
+    words = -(-len(languages) // 64)
+    slot_bits = max(6, slot_bits - (-(-words // MOST_WORDS) - 1).bit_length())
+    size = 1 << slot_bits
 
     def counted(batch) -> dict:
         found = [np.empty(0, np.int64)]

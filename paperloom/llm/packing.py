@@ -185,7 +185,8 @@ def packed(docs: DataFrame, *, window: int = WINDOW, **options) -> DataFrame:
         pdf["offset"] = offsets
         return pdf.drop(columns="shard")
 
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards))
+    # Pieces with the same id and start, as those of rows without an id, are told apart by what they hold.
+    shard = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(shards))
     return cut.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, schema)
 
 

@@ -11,7 +11,7 @@ windows of the anchor cover: where an earlier document has an equal stretch, all
 that repeat. Left are anchors at the edges of what documents share: the windows of these, and of the first of each other kind
 with their seed, are made from the texts, known by 128 bits, and compared.
 
-Seeds that very many documents hold (at least HOT_SHARE of a sample of documents; a list of at most HOT_SEEDS) are known to repeat;
+Seeds that very many documents hold (HOT_SHARE of them, or HOT_ROWS, by a sample; a list of at most HOT_SEEDS) are known to repeat;
 they are dealt apart in SALTS parts, pass the levels, and the first of each kind in a part are compared by counts that are
 combined before they are dealt. Which seeds these are changes no result. Windows are judged on the input, not on what is left. What a
 document repeats within itself is sent once and marked; the last step covers its other places too.
@@ -38,8 +38,8 @@ from paperloom.llm.common import WORD, documents, map_batches, maybe_in
 from paperloom.scratch import discard, written
 
 LENGTH, SEED_WORDS = 13, 4
-SAMPLE_DOCUMENTS = 20_000  #: documents, about, in which very common seeds are looked for
-HOT_SHARE, LEAST_HOT, HOT_SEEDS, SALTS = 0.002, 20, 10_000, 64
+SAMPLE_DOCUMENTS, SAMPLE_SHARE = 20_000, 20_000  #: documents, about, in which very common seeds are looked for: so many, or one of so many
+HOT_SHARE, HOT_ROWS, LEAST_HOT, HOT_SEEDS, SALTS = 0.002, 200_000, 20, 1_000_000, 64
 SALT_STEP = 0x9E3779B97F4A7C  #: times the salt is what a common seed is changed by for the deal
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -127,9 +127,11 @@ class Anchors:
 
 
 def hot_seeds(texts: DataFrame, length: int, seed_words: int) -> np.ndarray:
-    """Seeds that at least HOT_SHARE of a sample of documents hold, the HOT_SEEDS most frequent of them at most."""
+    """Seeds that at least HOT_SHARE of the documents hold, or HOT_ROWS of them where that is less, by a sample; the HOT_SEEDS most
+    frequent of them at most."""
     n = texts.count()
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_DOCUMENTS))) == 0)
+    wanted = max(SAMPLE_DOCUMENTS, n // SAMPLE_SHARE)
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // wanted))) == 0)
 
     def work(batch):
         found = [np.empty(0, np.int64)]
@@ -140,7 +142,7 @@ def hot_seeds(texts: DataFrame, length: int, seed_words: int) -> np.ndarray:
         return {"seed": np.concatenate(found)}
 
     counts = map_batches(sample.select("text"), lambda: work, "seed long").groupBy("seed").count()
-    least = max(LEAST_HOT, int(HOT_SHARE * min(n, SAMPLE_DOCUMENTS)))
+    least = max(LEAST_HOT, int(min(HOT_SHARE, HOT_ROWS / max(1, n)) * min(n, wanted)))
     top = counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "seed").limit(HOT_SEEDS).select("seed").collect()
     return np.sort(np.array([r["seed"] for r in top], np.int64))
 
