@@ -253,6 +253,36 @@ def extraction_prompts(spark, d):
     return docs.select("doc_id", F.length("text").cast("long").alias("n_text"), F.endswith(prompt, F.col("text")).alias("has_text"), F.contains(prompt, F.concat(F.lit("Fields: "), field)).alias("has_schema"), F.contains(prompt, F.lit("Earlier corrections:")).alias("has_memory"))
 
 
+def _wanted_sql() -> str:
+    """What the prompt of each type of document asks for, as SQL: its fields and tables, as they are fixed."""
+    each = []
+    for i, kind in enumerate(K.DOC_TYPES):
+        fields = ", ".join(K.SCHEMAS[kind]["fields"]) or "every labelled value, with short lower-case names"
+        tables = "; ".join(f"{t} ({', '.join(c)})" for t, c in K.SCHEMAS[kind]["tables"].items()) or "those that the document has"
+        each.append(f"WHEN {i} THEN 'Document type: {kind}' || chr(10) || 'Fields: {fields}' || chr(10) || 'Tables: {tables}' || chr(10)")
+    return "CASE doc_id % 5 " + " ".join(each) + " END"
+
+
+@register("prompts", f"""
+WITH d AS (SELECT doc_id, text, lang, left(text, 4000) AS head, ([{", ".join(f"'{t}'" for t in K.DOC_TYPES)}])[CAST(doc_id % 5 AS INT) + 1] AS kind, {_wanted_sql()} AS wanted FROM documents)
+SELECT doc_id, sha256('Name the type of this document with one of: invoice, payslip, id_proof, bank_statement, other.' || chr(10) || chr(10) || head) AS classification,
+  sha256(wanted || CASE WHEN doc_id % 2 = 0 THEN 'Earlier corrections:' || chr(10) || '- near this use that' || chr(10) ELSE '' END
+    || 'Give one JSON object {{"fields": {{name: value}}, "tables": [{{"table_name": name, "rows": [{{column: value}}]}}]}} and nothing else. A value that the text does not have is null.' || chr(10) || chr(10) || text) AS extraction,
+  sha256('Document type: ' || kind || chr(10) || 'For each field give how surely the text has its value, from 0 to 1, as one JSON object.' || chr(10) || 'number: ' || doc_id || chr(10) || 'language: ' || CASE WHEN doc_id % 3 > 0 THEN lang ELSE 'null' END || chr(10) || chr(10) || head) AS rating FROM d
+""")
+def prompts(spark, d):
+    """The three prompts of every document, as digests: whole texts to extract from, the first 4,000 characters to classify and to rate."""
+    docs = table(spark, d, "documents")
+    kind = F.element_at(F.array(*[F.lit(t) for t in K.DOC_TYPES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    rated = F.array(F.struct(F.lit("number").alias("name"), F.col("doc_id").cast("string").alias("value")), F.struct(F.lit("language").alias("name"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("value")))
+    made = {
+        "classification": extraction.classification_prompt(F.col("text")),
+        "extraction": extraction.extraction_prompt(kind, F.col("text"), F.when(F.col("doc_id") % 2 == 0, "- near this use that")),
+        "rating": extraction.rating_prompt(kind, rated, F.col("text")),
+    }
+    return docs.select("doc_id", *[F.sha2(x, 256).alias(n) for n, x in made.items()])
+
+
 @register("export_records", f"""WITH {FIELDS_SQL}
 SELECT document_id, '[' || string_agg('{{"name":"' || name || '","value":"' || CASE WHEN NOT h THEN value WHEN field_type = 'id_number' THEN 'XXXX-XXXX-' || right(value, 4) WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE left(value, 1) || repeat('*', length(value) - 2) || right(value, 1) END || '","bucket":"' || bucket || '"}}', ',' ORDER BY pos) || ']' AS record
 FROM (SELECT *, field_type = 'id_number' OR name IN ('iban', 'tax_id') AS h FROM fields) GROUP BY 1""")
