@@ -113,7 +113,7 @@ def process(files: DataFrame, store: Store, batch: int, providers: Providers) ->
 
     tests = checks.cross_checks(typed.select("document_id", "doc_type"), fields, cells)
     boxes = scored.filter("page is not null")
-    strokes = quality.strokes(pages.join(kept.select("document_id"), "document_id", "left_semi"), words, boxes)
+    strokes = quality.strokes(pages, words, boxes)
     flags = checks.metadata_flags(sources.metadata(accepted)).unionByName(checks.recompression_flags(measured.join(kept.select("document_id"), "document_id", "left_semi")))
     flags = written(flags.unionByName(checks.font_flags(boxes, words, strokes)), "flags")
     secret = privacy.classify(fields.select("document_id", "doc_type", "pos", "name", "value", "field_type"))

@@ -25,7 +25,8 @@ class TextPages(ImagePages):
             words = TextWords().words(kind, content)
             out = []
             for page in range(1, max((w["page"] for w in words), default=1) + 1):
-                image = np.full((820, 1000, 3), 255, np.uint8)
+                own = [w for w in words if w["page"] == page]
+                image = np.full((30 + max((w["y"] for w in own), default=0), 20 + max((w["x"] + w["width"] for w in own), default=0), 3), 255, np.uint8)
                 for w in words:
                     if w["page"] == page:
                         image[w["y"] : w["y"] + w["height"] : 2, w["x"] : w["x"] + w["width"]] = 0
