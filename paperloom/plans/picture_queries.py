@@ -126,6 +126,19 @@ def paper(pages: int, created: str, modified: str | None, software: str) -> byte
     return out + b"%d 0 obj<</Type/XRef/W[1 3 1]/Size %d/Root 1 0 R/Info 3 0 R/Filter/FlateDecode/Length %d>>stream\n%b\nendstream endobj\nstartxref\n%d\n%%%%EOF" % (n + 2, n + 3, len(packed), packed, start)
 
 
+@register("file_scan", """
+WITH f AS (SELECT doc_id || (['.PDF', '.png', '.jpg', '.JPEG', '.txt', '.tar.ppm'])[CAST(doc_id % 6 AS INT) + 1] AS name, CASE WHEN doc_id % 7 = 0 THEN '%PDF-1.7 ' ELSE '' END || text AS content FROM documents)
+SELECT left(sha256(content), 32) AS document_id, name AS original_filename, sha256(content) AS file_hash_sha256, CASE WHEN ends_with(lower(name), '.pdf') OR starts_with(content, '%PDF') THEN 'pdf' ELSE lower(regexp_extract(name, '[.]([^.]+)$', 1)) END AS kind FROM f
+""")
+def file_scan(spark, d):
+    """Texts as files of six endings, some of which begin as a PDF does: ids, names, hashes and kinds."""
+    k = F.col("doc_id")
+    ending = F.element_at(F.array(*[F.lit(e) for e in (".PDF", ".png", ".jpg", ".JPEG", ".txt", ".tar.ppm")]), (k % 6 + 1).cast("int"))
+    path = F.concat(F.lit("file:/in/a.b/"), k.cast("string"), ending)
+    content = F.concat(F.when(k % 7 == 0, "%PDF-1.7 ").otherwise(""), F.col("text")).cast("binary")
+    return files.described(table(spark, d, "documents").select(path.alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), content.alias("content"))).drop("content", "upload_timestamp")
+
+
 @register("pdf_metadata", """
 SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(o_orderkey % 5 + 1 AS INT) AS page_count, epoch_us(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 977 % 86400)) AS created, CASE WHEN o_orderkey % 3 > 0 THEN epoch_us(CAST(CAST(o_orderdate AS DATE) + 9 AS TIMESTAMP)) END AS modified, o_clerk AS software FROM (SELECT *, 'Clerk (' || o_custkey || ')' AS o_clerk FROM orders)
 """)

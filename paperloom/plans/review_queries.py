@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
 from paperloom.functions.scores import bucket
-from paperloom.operators import display, extraction, privacy, retrieval, review, store
+from paperloom.operators import display, extraction, privacy, retrieval, review, scoring, store
 from paperloom.plans.catalog import register, table
 
 
@@ -383,3 +383,16 @@ def session_corrections(spark, d):
     """Corrections of every document as they are shown, with the place of each among those of its document."""
     made = corrections_of(spark, d).withColumn("original_value", F.when(F.col("seq") % 3 != 0, F.col("original_value"))).withColumn("corrected_by", F.when(F.col("seq") % 4 == 0, "Ann").when(F.col("seq") % 4 == 1, ""))
     return store.session_corrections(made).withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("seq")))
+
+
+@register("field_ratings", f"""WITH {FIELDS_SQL},
+r AS (SELECT document_id, name, (['0.35', '1.7', '-0.2', 'sure', '1e-1', '', ' 0.5 '])[CAST((document_id + pos) % 7 AS INT) + 1] AS rating FROM fields WHERE (document_id + pos) % 8 <> 0)
+SELECT f.document_id, f.name, CASE WHEN TRY_CAST(trim(rating) AS DOUBLE) IS NOT NULL THEN greatest(0.0, least(1.0, TRY_CAST(trim(rating) AS DOUBLE))) END AS llm_confidence FROM fields f LEFT JOIN r ON r.document_id = f.document_id AND r.name = f.name
+""")
+def field_ratings(spark, d):
+    """What a model says of its fields, joined to them: numbers cut to 0 and 1, other answers and fields that it leaves out are null."""
+    fields = fields_of(spark, d)
+    place = F.col("document_id") + F.col("pos")
+    said = F.element_at(F.array(*[F.lit(t) for t in ("0.35", "1.7", "-0.2", "sure", "1e-1", "", " 0.5 ")]), (place % 7 + 1).cast("int"))
+    raw = fields.filter(place % 8 != 0).select("document_id", "name", said.alias("rating"))
+    return fields.select("document_id", "name").join(scoring.ratings(raw), ["document_id", "name"], "left")

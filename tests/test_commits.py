@@ -90,6 +90,7 @@ def test_snapshots(spark, tmp_path):
     assert [r[0] for r in rows(without_batch=3)] == sorted(r[0] for r in before) and rows(without_batch=1) == [("d3", "new", None, 3), ("d4", "newer", '{"doc_type": "x"}', 4), ("d99", "h99", "{}", 99)]
     store.compact(buckets=4)
     assert {r[0]: r for r in rows()} == after
+    assert [r["seq"] for r in store.processed("doc_type string").collect()] == sorted((r[3] for r in after.values()), reverse=True)
     # One document is looked up in one bucket, and in no folder of a batch.
     one = store.current(document_id="d4")
     plan = one._jdf.queryExecution().executedPlan().toString()
