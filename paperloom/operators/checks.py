@@ -121,15 +121,21 @@ def table_sums(cells: DataFrame) -> DataFrame:
 
 def records(wide: DataFrame, doc_type: Column | None = None) -> DataFrame:
     """(document_id, RECORD…) of rows with field_values() and table_sums(), for the type of each; without one, all checks."""
-    amount = lambda n: parse_amount(F.col(n))
-    deductions = F.when(F.col("has_deductions"), F.col("deduction_sum")).otherwise(money(amount("total_deductions")))
+    dates = sorted({n for pair in K.DATE_PAIRS for n in pair})
     of = lambda *kinds: F.lit(True) if doc_type is None else doc_type.isin(*kinds)
+    # Values are read once, as columns: a record names them several times. Dates by one expression, which has many forms.
+    read = wide.select(
+        "document_id", of("invoice").alias("is_invoice"), of("payslip").alias("is_payslip"), of(*K.DOC_TYPES).alias("is_known"), "item_sum", "has_deductions", "deduction_sum",
+        *[parse_amount(F.col(n)).alias(n) for n in COMPARED if n not in dates], *[F.col(n).isNotNull().alias(f"has_{n}") for n in dates], F.transform(F.array(*[F.col(n) for n in dates]), parse_date).alias("dates"),
+    )
+    read = read.withColumns({n: F.get("dates", F.lit(i)) for i, n in enumerate(dates)})
+    read = read.withColumn("deductions", F.when(F.col("has_deductions"), F.col("deduction_sum")).otherwise(money(F.col("total_deductions"))))
     each = [
-        F.when(of("invoice"), sum_record(F.col("item_sum"), amount("total_amount"))),
-        F.when(of("payslip"), net_record(amount("gross_pay"), deductions, amount("net_pay"))),
-        *[F.when(of(*K.DOC_TYPES) & F.col(a).isNotNull() & F.col(b).isNotNull(), date_record(a, b, parse_date(F.col(a)), parse_date(F.col(b)))) for a, b in K.DATE_PAIRS],
+        F.when(F.col("is_invoice"), sum_record(F.col("item_sum"), F.col("total_amount"))),
+        F.when(F.col("is_payslip"), net_record(F.col("gross_pay"), F.col("deductions"), F.col("net_pay"))),
+        *[F.when(F.col("is_known") & F.col(f"has_{a}") & F.col(f"has_{b}"), date_record(a, b, F.col(a), F.col(b))) for a, b in K.DATE_PAIRS],
     ]
-    return wide.select("document_id", F.explode(F.array_compact(F.array(*each))).alias("c")).select("document_id", *[f"c.{n}" for n in RECORD])
+    return read.select("document_id", F.explode(F.array_compact(F.array(*each))).alias("c")).select("document_id", *[f"c.{n}" for n in RECORD])
 
 
 def _wide(fields: DataFrame, cells: DataFrame) -> DataFrame:
