@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import constants as K
 from paperloom.operators import checks, jpeg, pixels, quality
+from paperloom.plans import picture_queries
 from paperloom.sources import files as sources
 from paperloom.sources import providers
 
