@@ -87,7 +87,8 @@ def parse_answer(raw: Column) -> Column:
 
 def references(answers: DataFrame, documents: DataFrame) -> DataFrame:
     """(answer_id, answer, referenced_documents): ids that the tag lists, then those of documents (document_id, seq)
-    whose id or its first 8 characters stand anywhere in the answer, newest first. Pieces of the answer of 8 characters are
+    whose id or its first 8 characters stand anywhere in the answer, newest first; within an id that stands there as a whole no other
+    id begins. Pieces of the answer of 8 characters are
     joined with the starts of ids, and shorter pieces with ids that are shorter, so that no answer is compared with every
     document."""
     parsed = answers.select("answer_id", parse_answer(F.col("raw")).alias("p")).select("answer_id", "p.*")
@@ -102,4 +103,10 @@ def references(answers: DataFrame, documents: DataFrame) -> DataFrame:
     hit = pieces.join(ids.filter(~short), "piece").unionByName(shorter.join(ids.filter(short), "piece"))
     hit = hit.groupBy("answer_id", "document_id").agg(F.max("seq").alias("seq"))
     found = hit.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("o"), "document_id"))), lambda s: s["document_id"]).alias("found"))
-    return parsed.join(found, "answer_id", "left").select("answer_id", "answer", F.array_union("listed", F.coalesce("found", F.array().cast("array<string>"))).alias("referenced_documents"))
+    # Ids of random digits begin alike, or within each other: what is left beside whole ids decides for those that are not whole.
+    longest = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)
+    whole = F.array_sort(F.filter("found", lambda i: F.contains("answer", i)), longest)
+    rest = F.aggregate(whole, F.col("answer"), lambda left, i: F.replace(left, i, F.lit("\n")))
+    meant = F.filter("found", lambda i: F.contains("answer", i) | F.contains("rest", F.substring(i, 1, 8)))
+    out = parsed.join(found, "answer_id", "left").withColumn("rest", rest).withColumn("found", meant)
+    return out.select("answer_id", "answer", F.array_union("listed", F.coalesce("found", F.array().cast("array<string>"))).alias("referenced_documents"))
