@@ -46,7 +46,8 @@ def near_pairs(left: DataFrame, right: DataFrame, distance: int = K.HASH_DISTANC
     a = _keyed(left.select("h").distinct())
     b = _keyed(right.select("h").distinct()).withColumnRenamed("h", "r")
     d = hamming(F.col("h"), F.col("r"))
-    return a.join(b, "key").filter(d <= distance).select("h", "r", d.alias("distance")).distinct()
+    # Spark takes exploded keys to be as few as their hashes: they are dealt and merged, never broadcast through the driver.
+    return a.join(b.hint("merge"), "key").filter(d <= distance).select("h", "r", d.alias("distance")).distinct()
 
 
 def find_duplicates(new: DataFrame, stored: DataFrame, distance: int = K.HASH_DISTANCE) -> DataFrame:
