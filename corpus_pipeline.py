@@ -53,7 +53,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 or more of similar shingles of five words, the one with the smallest id."""
+    """One document of each group linked by 0.8 or more of similar shingles of five words, the one with the smallest id; found by
+    SimHash fingerprints and their Golay-code keys, then by wider keys, all verified."""
     dropped = shingle_dedup.near_duplicates(docs).filter("not kept").select("doc_id", "digest")
     return _without(docs, dropped, shingle_dedup.text_digest()).select(*COLUMNS)
 

@@ -2,7 +2,9 @@
 
 The similarity of two texts is that of the sets of their shingles of five lower-cased (A-Z) words: shared ones by
 all (Jaccard). A text of fewer words is one shingle, one without words has none and equals its like. Texts of one
-set are one node. Nodes that share one of 40 keys of 6 MinHashes each are candidates: a pair of similarity s shares none with
+set are one node. Candidates come first from the method of operator 2: nodes that share a fuzzy key of their SimHash fingerprints, as all do
+that differ in at most 4 bits, are verified and connected. Pairs of similarity 0.8 differ in about 10 bits, so the search goes on from these
+components: nodes that share one of 40 keys of 6 MinHashes each are candidates too, and with them what the fingerprints left to compare: a pair of similarity s shares none with
 probability (1 - s^6)^40, 5 in a million at 0.8. Every candidate pair is verified on the sets, so no link is false.
 
 Before that it must pass a bound without error: a sketch holds, in each of 512 bits, whether an odd number of a set's
@@ -32,6 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm import simhash
 from paperloom.llm.common import map_batches, maybe_in
 from paperloom.llm.components import components
 from paperloom.scratch import discard, written
@@ -83,7 +86,7 @@ def text_digest() -> Column:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, size, keys, sketch) of every row of docs."""
+    """(doc_id, digest, node, size, fp, keys, sketch) of every row of docs."""
     import xxhash
 
     def make():
@@ -92,11 +95,12 @@ def _marked(docs: DataFrame) -> DataFrame:
         def work(batch):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "node": nodes, "size": [len(x) for x in found], "keys": [minhash.keys(x) for x in found], "sketch": [odd_sketch(x) for x in found]}
+            fps = np.array([simhash.bit_majority(x) for x in found], np.uint64).view(np.int64)
+            return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "node": nodes, "size": [len(x) for x in found], "fp": fps, "keys": [minhash.keys(x) for x in found], "sketch": [odd_sketch(x) for x in found]}
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), "text"), make, "doc_id long, digest long, node long, size int, keys array<long>, sketch array<long>", AT_ONCE)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), "text"), make, "doc_id long, digest long, node long, size int, fp long, keys array<long>, sketch array<long>", AT_ONCE)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,27 +202,37 @@ def _by_rarest(members: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, component, kept) of every row of docs (doc_id, text) that has a near-duplicate.
-
-    kept marks the row of a component with the smallest id, and of several texts of this id the one with the
-    smallest digest (text_digest). Rows with a null id connect others, and are kept."""
-    marked = written(_marked(docs), "shingle-marked")
-    rows = written(marked.select("doc_id", "digest", "node"), "shingle-nodes-of-rows")
-    nodes = marked.groupBy("node").agg(F.min("size").alias("size"), F.min("digest").alias("digest"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "shingle-nodes")
-    discard(marked)
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+def _members(keyed: DataFrame) -> DataFrame:
+    """(key, node, component) of the nodes of keyed (key, node) whose key others have too; each is its own component."""
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shingle-buckets")
-    members = written(keyed.join(shared, "key").select("key", "node", F.col("node").alias("component")), "shingle-members")
+    # Most keys are of one node: they are surely not wanted and not dealt again.
+    maybe = maybe_in(keyed, shared, "key").filter("maybe")
+    members = written(maybe.join(shared, "key").select("key", "node", F.col("node").alias("component")), "shingle-members")
     discard(shared)
-    # Sketches and texts are of nodes that share a bucket only.
-    wanted = nodes.join(members.select("node").distinct(), "node").select("digest", "node", "size", *[F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(WORDS)])
-    wanted = written(wanted, "shingle-wanted")
-    discard(nodes)
-    texts, sketches = written(_texts(docs, wanted), "shingle-texts"), wanted.drop("digest")
+    return members
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """The buckets of the fuzzy keys of nodes (node, fp): fingerprints that differ in at most 4 bits share one."""
+    return _members(simhash.fuzzy_keys(nodes, "node").select("key", "node"))
+
+
+def _by_minhash(nodes: DataFrame) -> DataFrame:
+    return _members(nodes.select("node", F.explode("keys").alias("key")))
+
+
+def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    relabelled = members.drop("component").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    return written(relabelled, "shingle-members")
 
-    links, labels, turn, before, rarest = None, None, 0, None, False
+
+def _connected(members: DataFrame, sketches: DataFrame, texts: DataFrame, labels: DataFrame | None, last_too: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
+    """labels (node, component; None: no links yet) with the links among members (key, node, component) added, and the members left
+    to compare all with all (None: none), which is done if last_too. Discards both."""
+    if labels is not None:
+        members, done = _relabelled(members, labels), members
+        discard(done)
+    turn, before, rarest = 0, None, False
     while True:
         groups = written(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "shingle-groups")
         left = groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts"))
@@ -227,12 +241,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not pairs_left:
             discard(groups, left, members)
             break
-        if before is not None:
+        if labels is not None:
             members, done = written(members.join(left.select("key"), "key").select("key", "node", "component"), "shingle-members"), members
             groups, counted = written(groups.join(left.select("key"), "key").select("key", "component", "n"), "shingle-groups"), groups
             discard(done, counted)
         few, stuck = pairs_left <= FEW * count, before is not None and 10 * pairs_left > 9 * before
         # The rarest shingles cost a row a shingle of the nodes left, all pairs a comparison a pair: the cheaper way is taken.
+        if before is not None and (few or stuck) and not last_too:
+            discard(groups, left)
+            return labels, members
         if stuck and not few and not rarest and pairs_left > PAIRS_A_SHINGLE * _shingles_of(members, sketches):
             members, done = _by_rarest(members, texts), members
             discard(groups, left, done)
@@ -249,10 +266,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if last:
             discard(members)
             break
-        relabelled = members.drop("component").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        members, done = written(relabelled, "shingle-members"), members
+        members, done = _relabelled(members, labels), members
         discard(done)
         before, turn = pairs_left, turn + 1
+    return labels, None
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, component, kept) of every row of docs (doc_id, text) that has a near-duplicate.
+
+    kept marks the row of a component with the smallest id, and of several texts of this id the one with the
+    smallest digest (text_digest). Rows with a null id connect others, and are kept."""
+    marked = written(_marked(docs), "shingle-marked")
+    rows = written(marked.select("doc_id", "digest", "node"), "shingle-nodes-of-rows")
+    nodes = marked.groupBy("node").agg(F.min("size").alias("size"), F.min("digest").alias("digest"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes, "shingle-nodes")
+    discard(marked)
+    by_print, by_minhash = _by_fingerprint(nodes), _by_minhash(nodes)
+    # Sketches and texts are of nodes that share a bucket only.
+    met = by_print.select("node").union(by_minhash.select("node")).distinct()
+    wanted = nodes.join(met, "node").select("digest", "node", "size", *[F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(WORDS)])
+    wanted = written(wanted, "shingle-wanted")
+    discard(nodes)
+    texts, sketches = written(_texts(docs, wanted), "shingle-texts"), wanted.drop("digest")
+
+    labels, rest = _connected(by_print, sketches, texts, None, last_too=False)
+    if rest is not None:
+        by_minhash, done = written(by_minhash.unionByName(rest), "shingle-members"), by_minhash
+        discard(done, rest)
+    labels, _ = _connected(by_minhash, sketches, texts, labels)
     discard(wanted, texts)
     # Nodes without a link may still be several rows.
     linked = rows.withColumn("component", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

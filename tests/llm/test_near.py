@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from paperloom.llm import shingle_dedup
+from paperloom.llm import shingle_dedup, simhash
 
 
 def plain_set(text):
@@ -102,3 +102,52 @@ def test_recall_just_above_the_similarity(spark):
             pairs += 1
     found = shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("not kept and doc_id % 2 = 1").count()
     assert found >= 0.99 * pairs
+
+
+def test_near_texts_are_found_by_their_fingerprints(spark, monkeypatch):
+    """By the method of operator 2 alone: all similar texts whose fingerprints differ in at most 4 bits are linked, and no unlike ones."""
+    monkeypatch.setattr(shingle_dedup, "_by_minhash", lambda nodes: shingle_dedup.written(nodes.filter("false").selectExpr("node key", "node", "node component"), "none"))
+    rows = [(i, t) for i, t in table() if i is not None and i != 5]
+    got = {r["doc_id"]: r["component"] for r in shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: plain_set(t) for i, t in rows}
+    prints = {i: simhash.bit_majority(shingle_dedup.shingles(t)) for i, t in rows}
+    near, every = 0, {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                every = {k: every[i] if c == every[j] else c for k, c in every.items()}
+                if (prints[i] ^ prints[j]).bit_count() <= 4:
+                    assert got[i] == got[j]
+                    near += 1
+    assert near >= 50
+    assert all(every[i] == every[j] for i, c in got.items() for j, d in got.items() if c == d)
+
+
+def test_texts_linked_by_their_fingerprints_are_not_paired_again(spark, monkeypatch):
+    """The wider keys come after the fingerprints and start from their components."""
+    before = []
+    connected = shingle_dedup._connected
+
+    def record(members, sketches, texts, labels, **further):
+        before.append(None if labels is None else labels.count())
+        return connected(members, sketches, texts, labels, **further)
+
+    monkeypatch.setattr(shingle_dedup, "_connected", record)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:-1] + ["x"])), (2, "another text of a few words")]
+    found = shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["kept"] for r in found} == {0: True, 1: False}
+    assert before == [None, 2]
+
+
+def test_fuzzy_keys_of_near_fingerprints(spark):
+    rnd = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for i in range(500):
+        fp = rnd.getrandbits(64)
+        rows += [(signed(fp), i), (signed(fp ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4)))), i)]
+    keys = {}
+    for r in simhash.fuzzy_keys(spark.createDataFrame(rows, "fp long, node long"), "node").collect():
+        keys.setdefault((r["fp"], r["node"]), set()).add(r["key"])
+    assert all(keys[rows[i]] & keys[rows[i + 1]] for i in range(0, len(rows), 2))
